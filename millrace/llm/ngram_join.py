@@ -91,6 +91,37 @@ def set_key(features: np.ndarray) -> int:
     return int(mix(np.array([total], U64)).view(np.int64)[0])
 
 
+def parities(features: np.ndarray) -> bytes:
+    """For each of a power of two of hash buckets, whether it holds an odd number of features.
+
+    A feature that only one of two sets has changes one bucket, so the sketches
+    differ in no more bits than the sets in features.
+    """
+    bits = 1 << max(6, int(1.5 * len(features)).bit_length())
+    odd = np.bincount((features & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded to the other's length."""
+    one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(one) > len(two):
+        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+    while len(two) > len(one):
+        two = two[: len(two) // 2] ^ two[len(two) // 2 :]
+    return int(np.bitwise_count(one ^ two).sum())
+
+
+def _near(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {name: batch.column(name).to_pylist() for name in ("n_u", "n_v", "p_u", "p_v")}
+            fit = [(100 + percent) * bits_apart(p, q) <= (100 - percent) * (n + m) for n, m, p, q in zip(*c.values())]
+            yield pa.record_batch([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(fit, pa.bool_()))
+
+    return run
+
+
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,8 +129,8 @@ def _sketch(width: int):
             for a, b in slices(texts):
                 sets = shingle_sets(texts.slice(a, b - a), width)
                 yield pa.record_batch(
-                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())],
-                    names=["doc_id", "n_shingles", "key"],
+                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary())],
+                    names=["doc_id", "n_shingles", "key", "parity"],
                 )
 
     return run
@@ -200,9 +231,9 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     spark = df.sparkSession
     store = Scratch(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketch = store.keep(docs.mapInArrow(_sketch(width), "doc_id long, n_shingles long, key long"), "sketch")
+    sketch = store.keep(docs.mapInArrow(_sketch(width), "doc_id long, n_shingles long, key long, parity binary"), "sketch")
     known = sketch.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = store.keep(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
+    classes = store.keep(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("parity").alias("parity")), "classes")
 
     sigs = docs.where("doc_id IS NOT NULL").mapInArrow(_signatures(width, percent), "sig long, key long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -210,11 +241,12 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     _settle(spark)
 
     def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs of class keys (a, b) as pairs of their first documents, where sizes allow a link."""
-        one = classes.select(F.col("key").alias("a"), F.col("rep").alias("u"), F.col("n").alias("n_u"))
-        two = classes.select(F.col("key").alias("b"), F.col("rep").alias("v"), F.col("n").alias("n_v"))
-        both = pairs.distinct().join(one, "a").join(two, "b")
-        return both.where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+        """Pairs of class keys (a, b) as pairs of their first documents, where sizes and parities allow a link."""
+        one = classes.select(F.col("key").alias("a"), F.col("rep").alias("u"), F.col("n").alias("n_u"), F.col("parity").alias("p_u"))
+        two = classes.select(F.col("key").alias("b"), F.col("rep").alias("v"), F.col("n").alias("n_v"), F.col("parity").alias("p_v"))
+        both = pairs.distinct().join(one, "a").join(two, "b").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+        near = both.mapInArrow(_near(percent), "u long, v long")
+        return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
