@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import gc
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ from ._text import U64, mix, shingle_sets, slices
 from .components import connected_components
 
 #: Least features for a signature that is not counted as light; see Scheme.
-LIGHT = 3
+LIGHT = 2
+#: Of k, the share by which there are more first-level parts than needed; see Scheme.
+LIGHT_SHARE = 16
 #: Rows of one pivot that a task compares; a pivot with more partners is dealt to several tasks.
 PARTNERS = 2048
 
@@ -28,60 +31,75 @@ class Scheme:
     sets lie in one band or in two neighbouring ones; a set takes part in its
     own band's scheme and in the next one's. In band b with largest size r, sets
     with Jaccard >= p have a Hamming distance of at most
-    k = floor(2 (1 - p) / (1 + p) r). The hash domain is cut into k + 1 + e
-    equal parts, and a signature is the part's number with all features in it
-    (first-level partitions whose subsets are enumerated with no second level,
-    the choice of PartEnum's parameters with the fewest signatures).
-
-    At most k parts differ, so at least e + 1 agree. A part with fewer than LIGHT
-    features is light: a set with at most e light parts leaves those out, as one
-    of the e + 1 agreeing parts is then not light; a set with more gives all its
-    parts. A pair where both leave theirs out shares a part that is not light,
-    a pair where one does shares it too, and a pair of two full sets shares all
-    the agreeing ones. So no pair is lost, and parts that are empty or hold a
-    single common shingle bring no strangers together.
+    k = floor(2 (1 - p) / (1 + p) r); where k is 0 they are equal, and no
+    signatures are needed.
+
+    The hash domain is cut into first-level parts and each of these into
+    `second` parts; a signature is a choice of all but `miss` second-level parts
+    of one first-level part, with all features in them. There are
+    k // (miss + 1) + 1 + e first-level parts, so e + 1 of them at least differ in
+    no more than `miss` features, and for each of these one signature agrees.
+
+    A signature of fewer than LIGHT features is light. A set with light signatures
+    in at most e first-level parts leaves its light ones out: of the e + 1 agreeing
+    signatures one lies elsewhere and is not light, and as it has the same
+    features in the other set, that one gives it too. A set with more gives all
+    its signatures. So no pair is lost, and parts that are empty or hold a few
+    common shingles bring no strangers together.
     """
 
     def __init__(self, percent: int):
         self.percent = percent
-
-    @lru_cache(maxsize=4096)  # noqa: B019
-    def band(self, b: int) -> tuple[int, int, np.ndarray]:
-        """Of band b: allowance e, number of parts, and the parts' first hashes."""
-        r = self.ends(b + 1)[-1]
-        k = 2 * (100 - self.percent) * r // (100 + self.percent)
-        e = 1 + (k + 1) // 4 if k else 0
-        n = k + 1 + e
-        cuts = np.array([(i << 64) // n for i in range(n)], dtype=np.uint64)
-        return e, n, cuts
+        self._ends, self._bands = [1], {}
+
+    def band(self, b: int) -> tuple[int, int, int, np.ndarray, np.ndarray] | None:
+        """Of band b: e, first- and second-level parts, the latter's first hashes, and which of them a signature has."""
+        if b not in self._bands:
+            r = self.ends(b + 1)[-1]
+            k = 2 * (100 - self.percent) * r // (100 + self.percent)
+            miss, second = (k, k + 3) if k <= 2 else (1, 3)
+            e = k // LIGHT_SHARE if k > 2 else 0
+            first = k // (miss + 1) + 1 + e
+            n = first * second
+            cuts = np.array([(i << 64) // n for i in range(n)], dtype=np.uint64)
+            chosen = np.array([[i not in out for i in range(second)] for out in combinations(range(second), miss)])
+            self._bands[b] = (e, first, second, cuts, chosen) if k else None
+        return self._bands[b]
 
     def ends(self, n: int) -> list[int]:
         """Largest sizes of the first n bands; band b holds the sizes over ends[b - 1] up to ends[b]."""
-        ends = self.__dict__.setdefault("_own", [1])
-        while len(ends) < n:
-            ends.append(max(ends[-1] + 1, (ends[-1] + 1) * 100 // self.percent))
-        return ends[:n]
+        while len(self._ends) < n:
+            low = self._ends[-1] + 1
+            self._ends.append(max(low, low * 100 // self.percent))
+        return self._ends[:n]
 
     def of_size(self, size: int) -> int:
-        n = 8
-        while self.ends(n)[-1] < size:
-            n *= 2
-        return int(np.searchsorted(self.ends(n), size))
+        while self._ends[-1] < size:
+            self.ends(2 * len(self._ends))
+        return bisect_left(self._ends, size)
 
     def signatures(self, features: np.ndarray) -> np.ndarray:
         """Of the sorted distinct hashes of a set that is not empty."""
         own = self.of_size(len(features))
         mixed = np.zeros(len(features) + 1, U64)
         np.cumsum(mix(features ^ U64(0xA24BAED4963EE407)), out=mixed[1:])
-        out = []
+        out = [np.zeros(0, U64)]
         for b in (own, own + 1):
-            e, n, cuts = self.band(b)
+            if (scheme := self.band(b)) is None:
+                continue
+            e, first, second, cuts, chosen = scheme
             edges = np.append(np.searchsorted(features, cuts), len(features))
-            held = np.diff(edges)
-            content = mixed[edges[1:]] - mixed[edges[:-1]]
-            sig = mix(content + mix(np.arange(n, dtype=U64) + U64(b << 32)))
-            heavy = held >= LIGHT
-            out.append(sig[heavy] if n - int(heavy.sum()) <= e else sig)
+            held = np.diff(edges).reshape(first, second)
+            content = mix(mixed[edges[1:]] - mixed[edges[:-1]] + U64(1)).reshape(first, second)
+            size = held @ chosen.T.astype(np.int64)
+            name = mix(np.arange(first * len(chosen), dtype=U64).reshape(size.shape) + U64(b << 40))
+            sig = name.copy()
+            for j in range(second):
+                turned = mix(content[:, j] + U64(j + 1))
+                sig += turned[:, None] * chosen[None, :, j].astype(U64)
+            sig = mix(sig)
+            light = size < LIGHT
+            out.append(sig[~light] if int(light.any(1).sum()) <= e else sig.ravel())
         return np.concatenate(out)
 
 
@@ -155,7 +173,7 @@ def _signatures(width: int, percent: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, key): those of signatures that several keys have, each key once, with its rank there."""
+    """Of rows sorted by sig and with equal keys together: those of signatures that several keys have, each key once, with its rank there."""
     last_sig = last_key = None
     rank = carried = 0  # of the last key within its signature, and that signature's first key
     for batch in batches:
@@ -221,7 +239,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     nothing. An empty table gives no rows; other columns are not read.
 
     Signatures are grouped by a sort on (signature, class), and every class of a
-    group is compared with the group's first. Links found so far are closed, and
+    group is compared with the one that shares most of its signatures. Links found so far are closed, and
     groups that still hold several components compare further pivots, in rounds of
     doubling width, until no pair of different components that shares a
     signature is left untested. So no link between components is lost, and a
@@ -237,8 +255,15 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     sigs = docs.where("doc_id IS NOT NULL").mapInArrow(_signatures(width, percent), "sig long, key long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = store.keep(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, pivot long, key long, rank long"), "shared")
+    ranked = "sig long, pivot long, key long, rank long"
+    met = store.keep(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, ranked), "met")
     _settle(spark)
+    # a group's pivot is the class that shares most of its signatures: the text that others are copies of
+    member = met.select("sig", "key").union(met.where("rank = 1").select("sig", F.col("pivot").alias("key")))
+    degree = member.groupBy("key").agg(F.count(F.lit(1)).alias("d")).join(classes, "key").select("key", (F.col("d") / F.col("n")).alias("share"))
+    order = member.join(degree, "key").repartition(parts, "sig").sortWithinPartitions("sig", F.desc("share"), "key")
+    shared = store.keep(order.select("sig", "key").mapInArrow(_shared, ranked), "shared")
+    store.drop(met)
 
     def sized(pairs: DataFrame) -> DataFrame:
         """Pairs of class keys (a, b) as pairs of their first documents, where sizes and parities allow a link."""
@@ -265,7 +290,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     _settle(spark)
     comp = store.keep(connected_components(links, store), "comp0")
 
-    low, step = 0, 4
+    low, step = 0, 1
     while True:
         # members of groups that still hold several components, with their ranks
         label = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("c"))
