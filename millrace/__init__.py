@@ -1,0 +1 @@
+"""Declarative operator-tree plans compiled to Spark DataFrames."""

@@ -1,13 +1,337 @@
-"""Named queries over the driver's tables, with equivalent SQL."""
+"""Named queries over the driver's tables, each a plan, with equivalent SQL."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.hashing import hash_column
+from ..functions.user import column_map, fold
+from .compiler import compile_plan
+from .flow import Flow
 
-def queries():
-    return {}
+FLAGSHIP = """
+scanL: { type = "parallelscan"; filetype = "parquet"; files = ("lineitem.parquet"); mapping = ((0, 1, 2, 3));
+         columns = ("l_orderkey", "l_partkey", "l_extendedprice"); };
+scanP: { type = "parallelscan"; filetype = "parquet"; files = ("part.parquet"); mapping = ((0, 1, 2, 3));
+         columns = ("p_partkey", "p_retailprice"); };
+scanO: { type = "parallelscan"; filetype = "parquet"; files = ("orders.parquet"); mapping = ((0, 1, 2, 3));
+         columns = ("o_orderkey", "o_custkey"); };
+joinP: { type = "hashjoin"; buildjattr = 0; probejattr = 1; projection = ("B$1", "P$0", "P$2"); threadgroups = ((0, 1, 2, 3)); };
+joinO: { type = "hashjoin"; buildjattr = 0; probejattr = 1; projection = ("B$1", "P$0", "P$2"); threadgroups = ((0, 1, 2, 3)); };
+margin: { type = "margin"; };
+total: { type = "aggregate_sum"; field = 0; sumfield = 1; };
+gather: { type = "merge"; threads = 4; };
+timer: { type = "cycle_accountant"; };
+treeroot: { name = "timer"; input: { name = "total"; input: { name = "gather"; input: { name = "total"; input: {
+  name = "margin"; input: { name = "joinO"; build: { name = "scanO"; }; probe: {
+    name = "joinP"; build: { name = "scanP"; }; probe: { name = "scanL"; }; }; }; }; }; }; }; };
+"""
 
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = " ".join(sql.split())
+        return f
+
+    return add
+
+
+def _cents(name: str):
+    return F.col(name).cast("decimal(18,2)")
+
+
+def _at(sf_dir: str) -> str:
+    return f"{sf_dir}/"
+
+
+def scan(table: str, *columns: str, type: str = "scan", **settings) -> Flow:
+    return Flow.source(type, file=f"{table}.parquet", filetype="parquet", columns=list(columns), **settings)
+
+
+def _run(flow: Flow, spark: SparkSession, sf_dir: str, names: list[str], user_ops: dict | None = None, tables: dict | None = None) -> DataFrame:
+    return flow.compile(spark, user_ops, tables, path=_at(sf_dir)).df.toDF(*names)
+
+
+_margin = column_map(lambda df: F.col("c0"), lambda df: _cents("c2") - _cents("c1"))
+
+
+@_query("q1_flagship", """SELECT o_custkey, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2)) - CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) AS margin
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey""")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = FLAGSHIP
+    from .config import parse
+
+    df = compile_plan({**parse(spec), "path": _at(sf_dir)}, spark, {"margin": _margin}).df
+    return df.toDF("o_custkey", "margin").withColumn("margin", F.col("margin").cast("double"))
+
+
+@_query("scan_project", "SELECT l_orderkey AS a, l_quantity AS b FROM lineitem")
+def _(spark, d):
+    return _run(scan("lineitem", "l_orderkey", "l_quantity"), spark, d, ["a", "b"])
+
+
+@_query("project_reorder_dup", "SELECT l_quantity AS a, l_orderkey AS b, l_quantity AS c FROM lineitem")
+def _(spark, d):
+    return _run(scan("lineitem", "l_orderkey", "l_quantity").project(1, 0, 1), spark, d, ["a", "b", "c"])
+
+
+def _filters() -> None:
+    for name, op in {"lt": "<", "le": "<=", "eq": "=", "ne": "<>", "ge": ">=", "gt": ">"}.items():
+
+        def f(spark, d, op=op):
+            return _run(scan("lineitem", "l_orderkey", "l_linenumber", "l_quantity").filter(1, op, "4"), spark, d, ["k", "n", "q"])
+
+        _query(f"filter_{name}", f"SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS q FROM lineitem WHERE l_linenumber {op} 4")(f)
+
+
+_filters()
+
+
+@_query("filter_literal_truncated", "SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_linenumber = 4")
+def _(spark, d):
+    return _run(scan("lineitem", "l_orderkey", "l_linenumber").filter(1, "==", "4.5"), spark, d, ["k", "n"])
+
+
+@_query("filter_date", "SELECT l_orderkey AS k, l_shipdate AS s FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-17 00:00:00'")
+def _(spark, d):
+    return _run(scan("lineitem", "l_orderkey", "l_shipdate").filter(1, "<", "1995-06-17"), spark, d, ["k", "s"])
+
+
+@_query("filter_char", "SELECT l_orderkey AS k, l_returnflag AS f FROM lineitem WHERE l_returnflag = 'R'")
+def _(spark, d):
+    return _run(scan("lineitem", "l_orderkey", "l_returnflag").filter(1, "=", "R"), spark, d, ["k", "f"])
+
+
+@_query("filter_chain_and", "SELECT l_orderkey AS k, l_quantity AS q FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_linenumber <> 3")
+def _(spark, d):
+    flow = scan("lineitem", "l_orderkey", "l_quantity", "l_linenumber").filter(1, ">=", "10").filter(1, "<", "20").filter(2, "!=", "3")
+    return _run(flow.project(0, 1), spark, d, ["k", "q"])
+
+
+@_query("map_expr", "SELECT l_orderkey AS k, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) - CAST(l_quantity AS DECIMAL(18,2)) AS DOUBLE) AS v FROM lineitem")
+def _(spark, d):
+    op = column_map(lambda df: F.col("c0"), lambda df: (_cents("c1") - _cents("c2")).cast("double"))
+    return _run(scan("lineitem", "l_orderkey", "l_extendedprice", "l_quantity").op("user"), spark, d, ["k", "v"], {"user": op})
+
+
+def _joins() -> None:
+    sql = "SELECT o_custkey AS c, l_orderkey AS k, l_linenumber AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+    for kind in ("hashjoin", "sortmergejoin", "mpsmjoin", "newmpsmjoin", "preprejoin"):
+
+        def f(spark, d, kind=kind):
+            flow = scan("lineitem", "l_orderkey", "l_linenumber").join(scan("orders", "o_orderkey", "o_custkey"), 0, 0, ["B$1", "P$0", "P$1"], kind)
+            return _run(flow, spark, d, ["c", "k", "n"])
+
+        _query(kind, sql)(f)
+
+
+_joins()
+
+
+@_query("hashjoin_mixed_types", "SELECT c_custkey AS c, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _(spark, d):
+    flow = scan("customer", "c_custkey", "c_nationkey").join(scan("nation", "n_nationkey", "n_name"), 0, 1, ["P$0", "B$1"])
+    return _run(flow, spark, d, ["c", "n"])
+
+
+@_query("indexhashjoin", """SELECT event_id AS e, user_id AS u, c_nationkey AS n FROM events JOIN customer ON user_id = c_custkey WHERE c_mktsegment = 'BUILDING'""")
+def _(spark, d):
+    build = scan("customer", "c_custkey", "c_nationkey", "c_mktsegment").filter(2, "=", "BUILDING")
+    probe = Flow.source("hdf5index", indexdirectory="events.parquet", indexdataset="/events/user_id", pick=["/events/event_id", "/events/user_id"])
+    return _run(probe.join(build, 0, 1, ["P$0", "P$1", "B$1"], "indexhashjoin"), spark, d, ["e", "u", "n"])
+
+
+@_query("index_lookup", "SELECT event_id AS e, value AS v FROM events WHERE value > 0.5 AND user_id IN (SELECT s_suppkey FROM supplier)")
+def _(spark, d):
+    probe = Flow.source("fastbitscan", indexdirectory="events.parquet", indexdataset="user_id", condition="value > 0.5", pick=["event_id", "user_id", "value"])
+    return _run(probe.join(scan("supplier", "s_suppkey"), 0, 1, ["P$0", "P$2"], "indexhashjoin"), spark, d, ["e", "v"])
+
+
+@_query("condition_scan", "SELECT event_id AS e, value AS v FROM events WHERE event_type = 'click' AND value BETWEEN 0.25 AND 75")
+def _(spark, d):
+    flow = Flow.source("fastbitscan", indexdirectory="events.parquet", condition="event_type = 'click' AND value BETWEEN 0.25 AND 75", pick=["event_id", "value"])
+    return _run(flow, spark, d, ["e", "v"])
+
+
+@_query("join_groups", """SELECT l_orderkey AS k, l_linenumber AS n, o_custkey AS c FROM lineitem JOIN orders
+    ON l_orderkey = o_orderkey AND (l_linenumber % 2) = (o_orderkey % 2)""")
+def _(spark, d):
+    """Two thread groups: build files by order parity, probe files by line parity."""
+    lines, orders = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+    tables = {f"l{i}": lines.where(f"l_linenumber % 2 = {i}").select("l_orderkey", "l_linenumber") for i in (0, 1)}
+    tables |= {f"o{i}": orders.where(f"o_orderkey % 2 = {i}").select("o_orderkey", "o_custkey") for i in (0, 1)}
+    probe, build = Flow.source("partitionedscan", files=["l0", "l1"]), Flow.source("partitionedscan", files=["o0", "o1"])
+    flow = probe.join(build, 0, 0, ["P$0", "P$1", "B$1"], threadgroups=[[0], [1]])
+    return _run(flow.merge(2), spark, d, ["k", "n", "c"], tables=tables)
+
+
+@_query("cross_by_constant", "SELECT r_name AS r, n_name AS n FROM region, nation")
+def _(spark, d):
+    one = column_map(lambda df: F.lit(1), lambda df: F.col("c0"))
+    flow = scan("nation", "n_name").op("one").join(scan("region", "r_name").op("one"), 0, 0, ["B$1", "P$1"])
+    return _run(flow, spark, d, ["r", "n"], {"one": one})
+
+
+@_query("agg_sum_int", "SELECT l_orderkey AS k, CAST(SUM(l_linenumber) AS BIGINT) AS s FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return _run(scan("lineitem", "l_orderkey", "l_linenumber").sum([0], 1), spark, d, ["k", "s"])
+
+
+@_query("agg_sum_long", "SELECT l_linenumber AS k, CAST(SUM(l_partkey) AS BIGINT) AS s FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return _run(scan("lineitem", "l_linenumber", "l_partkey").sum([0], 1), spark, d, ["k", "s"])
+
+
+@_query("agg_sum_dec", "SELECT l_returnflag AS k, CAST(SUM(l_quantity) AS DOUBLE) AS s FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return _run(scan("lineitem", "l_returnflag", "l_quantity").sum([0], 1), spark, d, ["k", "s"])
+
+
+@_query("agg_count", "SELECT l_suppkey AS k, COUNT(*) AS n FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return _run(scan("lineitem", "l_suppkey").count([0]), spark, d, ["k", "n"])
+
+
+@_query("agg_composite", "SELECT l_returnflag AS a, l_linestatus AS b, COUNT(*) AS n FROM lineitem GROUP BY 1, 2")
+def _(spark, d):
+    return _run(scan("lineitem", "l_returnflag", "l_linestatus").count([0, 1]), spark, d, ["a", "b", "n"])
+
+
+@_query("agg_global_nokey", "SELECT CAST(SUM(l_partkey) AS BIGINT) AS s FROM lineitem")
+def _(spark, d):
+    return _run(scan("lineitem", "l_partkey").sum([], 0), spark, d, ["s"])
+
+
+@_query("agg_empty_nokey", "SELECT CAST(SUM(l_partkey) AS BIGINT) AS s FROM lineitem WHERE l_partkey < 0 HAVING COUNT(*) > 0")
+def _(spark, d):
+    return _run(scan("lineitem", "l_partkey").filter(0, "<", "0").sum([], 0), spark, d, ["s"])
+
+
+@_query("agg_partial_final", "SELECT l_partkey AS k, COUNT(*) AS n FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return _run(scan("lineitem", "l_partkey").count([0]).merge(4).sum([0], 1), spark, d, ["k", "n"])
+
+
+@_query("agg_thread_partials", "SELECT l_linenumber % 2 AS g, l_returnflag AS k, COUNT(*) AS n FROM lineitem GROUP BY 1, 2")
+def _(spark, d):
+    """Two threads read a file each; their partial counts stay apart below the merge."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    tables = {f"l{i}": lines.where(f"l_linenumber % 2 = {i}").select("l_returnflag") for i in (0, 1)}
+    flow = Flow.source("partitionedscan", files=["l0", "l1"]).count([0]).op("threadidprepend").merge(2)
+    return _run(flow, spark, d, ["g", "k", "n"], tables=tables)
+
+
+def _sorts() -> None:
+    for name, asc in (("asc", True), ("desc", False)):
+        way = "ASC" if asc else "DESC"
+
+        def f(spark, d, asc=asc):
+            flow = scan("lineitem", "l_quantity", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").sort([0, 1, 2, 3, 4], asc, 100)
+            return _run(flow, spark, d, ["q", "o", "p", "s", "n"])
+
+        _query(f"sort_limit_{name}", f"""SELECT l_quantity AS q, l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS n FROM lineitem
+            ORDER BY {', '.join(f'{i} {way}' for i in range(1, 6))} LIMIT 100""")(f)
+
+
+_sorts()
+
+
+@_query("partition_exactrange", "SELECT CAST(o_orderkey // ((149999 + 4) // 4) AS INTEGER) AS b, o_orderkey AS k FROM orders")
+def _(spark, d):
+    flow = scan("orders", "o_orderkey").op("partition", attr=0, range=[0, 149998], buckets=4, sort="yes").op("threadidprepend")
+    return _run(flow, spark, d, ["b", "k"])
+
+
+def _hashes() -> None:
+    size = 1024
+    every = {
+        "modulo": ({}, "k & 1023"),
+        "parammodulo": ({"offset": 5, "skipbits": 3}, f"((k - 5) & {(size - 1) << 3}) >> 3"),
+        "knuth": ({"skipbits": 2}, f"((k * 2654435761) & {(size - 1) << 2}) >> 2"),
+        "range": ({"range": [0, 9999999]}, "(k << 10) // 10000000"),
+        "exactrange": ({"range": [0, 9999999]}, "k // ((9999999 + 1024) // 1024)"),
+        "tpchorderkey": ({}, "(((k >> 2) & ~7::BIGINT) | (k & 7)) & 1023"),
+        "alwayszero": ({}, "0::BIGINT"),
+    }
+    for fn, (settings, sql) in every.items():
+
+        def f(spark, d, fn=fn, settings=settings):
+            op = column_map(lambda df: F.col("c0"), lambda df: hash_column({"fn": fn, "buckets": 1000 if fn != "exactrange" else size, **settings}, F.col("c0")))
+            return _run(scan("orders", "o_orderkey").op("h"), spark, d, ["k", "h"], {"h": op})
+
+        _query(f"hash_{fn}", f"SELECT k, CAST({sql} AS BIGINT) AS h FROM (SELECT o_orderkey AS k FROM orders)")(f)
+
+
+_hashes()
+
+
+@_query("shuffle", "SELECT CAST((o_custkey & 7) % 3 AS INTEGER) AS h, o_orderkey AS k, o_custkey AS c FROM orders")
+def _(spark, d):
+    flow = scan("orders", "o_orderkey", "o_custkey").op("shuffle", hash={"fn": "modulo", "buckets": 8, "field": 1}, destIPs=["a", "b", "c"]).op("threadidprepend")
+    return _run(flow, spark, d, ["h", "k", "c"])
+
+
+@_query("merge_union", "SELECT r_regionkey AS k, r_name AS n FROM region UNION ALL SELECT r_regionkey, r_name FROM region")
+def _(spark, d):
+    flow = Flow.source("partitionedscan", filetype="parquet", files=["region.parquet"] * 2, columns=["r_regionkey", "r_name"])
+    return _run(flow.merge(2), spark, d, ["k", "n"])
+
+
+@_query("threadid", "SELECT t AS t, r_name AS n FROM region, (VALUES (0), (1)) x(t)")
+def _(spark, d):
+    flow = Flow.source("parallelscan", filetype="parquet", files=["region.parquet"] * 2, mapping=[[0], [1]], columns=["r_name"])
+    return _run(flow.op("threadidprepend").merge(2), spark, d, ["t", "n"])
+
+
+@_query("bitentropy", """SELECT 0 AS t, CAST(b AS INTEGER) AS b, SUM(1 - ((o_custkey >> b) & 1))::BIGINT AS z, SUM((o_custkey >> b) & 1)::BIGINT AS o
+    FROM orders, (SELECT UNNEST(generate_series(0, 63)) AS b) GROUP BY b""")
+def _(spark, d):
+    return _run(scan("orders", "o_custkey").op("printer_bitentropy", field=0), spark, d, ["t", "b", "z", "o"])
+
+
+@_query("consumer_xor", """SELECT CAST(x - CASE WHEN x >= 2147483648 THEN 4294967296 ELSE 0 END AS INTEGER) AS x FROM
+    (SELECT bit_xor(xor(xor(o_orderkey & 4294967295, o_orderkey >> 32), xor(o_custkey & 4294967295, o_custkey >> 32))) AS x FROM orders)""")
+def _(spark, d):
+    return _run(scan("orders", "o_orderkey", "o_custkey").op("consumer"), spark, d, ["x"])
+
+
+@_query("generator_int", "SELECT CAST(r AS INTEGER) AS k FROM (SELECT UNNEST(generate_series(1, 16384)) AS r), (VALUES (0), (1)) t(x)")
+def _(spark, d):
+    return _run(Flow.source("generator_int", sizeinmb=1, width=64).merge(2).project(0), spark, d, ["k"])
+
+
+@_query("rowrange_slice", """SELECT event_id AS e FROM (SELECT event_id, ROW_NUMBER() OVER (ORDER BY event_id) - 1 AS r, COUNT(*) OVER () AS n FROM events)
+    WHERE r >= 2 * (n // 7) AND r < 3 * (n // 7)""")
+def _(spark, d):
+    return _run(Flow.source("hdf5scan", file="events.parquet", pick=["/e/event_id"], order=["event_id"], totalpartitions=7, thispartition=2), spark, d, ["e"])
+
+
+@_query("random_lookup")
+def _(spark, d):
+    return _run(Flow.source("hdf5random", file="events.parquet", pick=["event_id"], order=["event_id"], randomlookups=500), spark, d, ["e"])
+
+
+@_query("udaf_fold", "SELECT o_custkey AS k, MIN(o_orderkey) AS lo, MAX(o_orderkey) AS hi FROM orders GROUP BY 1")
+def _(spark, d):
+    op = fold(["c0"], lambda r: (r.c1, r.c1), lambda s, r: (min(s[0], r.c1), max(s[1], r.c1)), lambda key, s: (key[0], *s), "k long, lo long, hi long", lambda a, b: (min(a[0], b[0]), max(a[1], b[1])))
+    return _run(scan("orders", "o_custkey", "o_orderkey").op("span"), spark, d, ["k", "lo", "hi"], {"span": op})
+
+
+@_query("instrumented", "SELECT n_name AS n FROM nation WHERE n_regionkey = 1")
+def _(spark, d):
+    flow = scan("nation", "n_name", "n_regionkey").op("checker_callstate").op("printer_tuplecount").filter(1, "=", "1").op("printer_callcount").op("printer_perfcount").op("cycle_accountant")
+    return _run(flow.project(0), spark, d, ["n"])
+
+
+def queries() -> dict:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
