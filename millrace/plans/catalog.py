@@ -244,7 +244,7 @@ _sorts()
 
 @_query("partition_exactrange", "SELECT CAST(o_orderkey // ((149999 + 4) // 4) AS INTEGER) AS b, o_orderkey AS k FROM orders")
 def _(spark, d):
-    flow = scan("orders", "o_orderkey").op("partition", attr=0, range=[0, 149998], buckets=4, sort="yes").op("threadidprepend")
+    flow = scan("orders", "o_orderkey").op("partition", attr=0, range=[0, 149999], buckets=4, sort="yes").op("threadidprepend")
     return _run(flow, spark, d, ["b", "k"])
 
 
