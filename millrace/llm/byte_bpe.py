@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_SPACE = regex.compile(r"\s")
 #: Pieces and states that a worker keeps; beyond that it starts anew, which costs time only.
-KEPT_PIECES, KEPT_STATES = 400_000, 200_000
+KEPT_PIECES, KEPT_STATES = 300_000, 300_000
 
 
 class Ranks:
@@ -22,6 +25,7 @@ class Ranks:
     def __init__(self, ranks: dict[bytes, int]):
         self.ids = dict(ranks)
         self.bytes = {i: b for b, i in ranks.items()}
+        self.halves: dict[int, tuple[int, int]] = {}
         self.step: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         for word, rank in ranks.items():
@@ -34,29 +38,62 @@ class Ranks:
                     self.token.append(-1)
                 at = nxt
             # a token that the merges don't yield on its own bytes never stands inside an encoding
-            self.token[at] = rank if self.merge(word) == [rank] else -1
+            self.token[at] = rank if self._last_merge(word, rank) else -1
         self._pairs: dict[tuple[int, int], bool] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The definition: join the adjacent pair of least rank, the leftmost of equal ones, while there is one."""
+    def _parts(self, piece: bytes, down_to: int) -> list[bytes]:
         parts = [piece[i : i + 1] for i in range(len(piece))]
         ids = self.ids
-        while len(parts) > 1:
+        while len(parts) > down_to:
             best = min(range(len(parts) - 1), key=lambda i: (ids.get(parts[i] + parts[i + 1], 1 << 60), i))
             if parts[best] + parts[best + 1] not in ids:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [ids[p] for p in parts]
+        return parts
+
+    def merge(self, piece: bytes) -> list[int]:
+        """The definition: join the adjacent pair of least rank, the leftmost of equal ones, while there is one."""
+        return [self.ids[p] for p in self._parts(piece, 1)]
+
+    def _last_merge(self, word: bytes, rank: int) -> bool:
+        """Notes the two tokens that a token is joined from at last; False if the merges don't get there."""
+        if len(word) == 1:
+            return True
+        two = self._parts(word, 2)
+        if len(two) == 2:
+            self.halves[rank] = self.ids[two[0]], self.ids[two[1]]
+        return len(two) == 2
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether b can stand after a: their joined bytes encode to just these two."""
+        """Whether b can stand after a: their joined bytes encode to just these two.
+
+        Goes back through the merges that made a and b, the later one first. At each
+        time two tokens x and y touch where a and b do; had their join a lower rank
+        than the one that x went into, and none higher than that of y (the left one of equal joins
+        comes first), it would have been made.
+        """
         found = self._pairs.get((a, b))
         if found is None:
-            if len(self._pairs) > 4 * KEPT_STATES:
+            if len(self._pairs) > 2 * KEPT_STATES:
                 self._pairs.clear()
-            found = self._pairs[a, b] = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
+            found = self._pairs[a, b] = self._stay_apart(a, b)
         return found
 
+    def _stay_apart(self, x: int, y: int) -> bool:
+        ids, raw, halves = self.ids, self.bytes, self.halves
+        x_until = y_until = 1 << 60
+        while True:
+            joined = ids.get(raw[x] + raw[y])
+            if joined is not None and joined < x_until and joined <= y_until:
+                return False
+            left, right = halves.get(x), halves.get(y)
+            if left and (x > y or not right):
+                x_until, x = x, left[1]
+            elif right:
+                y_until, y = y, right[0]
+            else:
+                return True
+
 
 class Transducer:
     """Reads a piece byte by byte and emits its tokens once no later byte can change them.
@@ -108,13 +145,17 @@ class Transducer:
         if reached is None:
             raise ValueError("the vocabulary lacks a byte")
         live.append(reached)
-        shared = 0
-        shortest = min(len(p) for _, p in live)
         first = live[0][1]
-        while shared < shortest and all(p[shared] == first[shared] for _, p in live):
-            shared += 1
-        done = first[:shared]
-        return self._intern(tuple((n, p[shared:]) for n, p in live), done[-1] if done else before), done
+        shared = len(first)
+        for _, path in live:
+            if not shared:
+                return self._intern(tuple(live), before), ()
+            shared = min(shared, len(path))
+            while path[:shared] != first[:shared]:
+                shared -= 1
+        if not shared:
+            return self._intern(tuple(live), before), ()
+        return self._intern(tuple([(n, p[shared:]) for n, p in live]), first[shared - 1]), first[:shared]
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.states) > KEPT_STATES:
@@ -186,6 +227,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.machine = Transducer(self.ranks)
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode("utf-8", "surrogatepass")
@@ -197,11 +239,44 @@ class Codec:
             self.pieces[piece] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def _pieces(self, text: str) -> tuple[tuple[int, ...], str]:
         known, out = self.pieces.get, []
         for piece in self.pattern.findall(text):
             out += known(piece) or self._piece(piece)
-        return out
+        return tuple(out), ",".join(map(str, out))
+
+    def _chunk(self, word: str) -> tuple[tuple[int, ...], str] | None:
+        """A space and the text up to the next one; None where white space follows the space."""
+        if not word or word[0].isspace() or _SPACE.match(word):
+            return None
+        found = self._pieces(" " + word)
+        if len(self.chunks) >= KEPT_PIECES:
+            self.chunks.clear()
+        if len(word) <= 64:
+            self.chunks[word] = found
+        return found
+
+    def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        """The text's ids, and their decimals joined by commas, for stretches of it in order.
+
+        Where no space is followed by white space, no match of the pattern runs
+        across the place before a space: only runs of white space hold a space
+        that is not their first character, and such a run would hold white space after it or
+        end in it, and then it is left to the next match. So texts are read in
+        stretches that begin at a space and are known by heart; any other text is
+        matched as a whole. (The pattern must be of this kind, as the public one is.)
+        """
+        first, *words = text.split(" ")
+        found = list(map(self.chunks.get, words))
+        for i, entry in enumerate(found):
+            if entry is None:
+                found[i] = entry = self._chunk(words[i])
+                if entry is None:
+                    return [self._pieces(text)] if text else []
+        return [self._pieces(first), *found] if first else found
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable([ids for ids, _ in self.parts(text)]))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.ranks.bytes.__getitem__, ids))
@@ -216,7 +291,12 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def _codec(path: str, pattern: str) -> Codec:
-    """One for all tasks of a worker, with the pieces and states it has met."""
+    """One for all tasks of a worker, with the pieces and states it has met.
+
+    These hold no reference cycles, so the search for such among all of them,
+    which takes as long as the work itself, is put off.
+    """
+    gc.set_threshold(100_000, 50, 1_000_000)
     return Codec(path, pattern)
 
 
@@ -232,13 +312,13 @@ def encode_table(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
-        names = {i: str(i) for i in codec.ranks.bytes}
         for batch in batches:
             counts, ids_sha, text_sha, every = [], [], [], []
             for t in batch.column("text"):
-                ids = codec.encode(t.as_py() or "")
+                parts = codec.parts(t.as_py() or "")
+                ids = list(chain.from_iterable([i for i, _ in parts]))
                 counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(",".join([d for _, d in parts]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(codec.decode_bytes(ids)).hexdigest())
                 if with_ids:
                     every.append(ids)
