@@ -50,7 +50,7 @@ class Model:
         return float(_sigmoid(self.scale * self.margin(ids) + self.shift))
 
 
-def _fit(rows: list[np.ndarray], labels: np.ndarray, features: int = 20_000, least_df: int = 4, decay: float = 2e-5, steps: int = 200) -> Model:
+def _fit(rows: list[np.ndarray], labels: np.ndarray, features: int = 10_000, least_df: int = 4, decay: float = 2e-5, steps: int = 200) -> Model:
     size = 1 << BITS
     df = np.zeros((2, size))
     for ids, y in zip(rows, labels):
@@ -83,6 +83,19 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, features: int = 20_000, lea
     return Model(weight.astype(np.float32), selected, float(w[-1]))
 
 
+def _table(parts: Iterator[list[np.ndarray]]) -> list[np.ndarray]:
+    """The arrays as views of one large one, which goes back to the system as a whole."""
+    held, at, ends = np.empty(1 << 22, np.uint32), 0, [0]
+    for part in parts:
+        for ids in part:
+            if at + len(ids) > len(held):
+                held = np.concatenate([held[:at], np.empty(max(len(held) // 2, len(ids)), np.uint32)])
+            held[at : at + len(ids)] = ids
+            at += len(ids)
+            ends.append(at)
+    return [held[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def fit(texts: list[str], labels: list[int], weights: list[float] | None = None, folds: int = 3) -> Model:
     """Fits the classifier, and calibrates its margin on margins of texts left out of the fit.
 
@@ -95,7 +108,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float] | None = None,
         if not len(y):
             share = 0.25
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, bool), float(np.log(share / (1 - share))))
-    rows = [grams(t) for t in texts]
+    rows = _table([grams(t) for t in part] for part in (texts[i : i + 64] for i in range(0, len(texts), 64)))
     model = _fit(rows, y)
     fold = np.arange(len(y)) % folds
     if min((y == 1).sum(), (y == 0).sum()) < 2 * folds:
@@ -121,7 +134,7 @@ def held_out(doc_id: str, folds: int = 5, fold: int = 0):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_positive: int = 2500, most_negative: int = 4500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_positive: int = 1500, most_negative: int = 3000) -> Model:
     """Fits on labelled rows that are not held out, at most about `most_positive` and `most_negative` of them.
 
     Rows of `labels` are chosen by a hash of their id before any text is read,
