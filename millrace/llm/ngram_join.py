@@ -22,6 +22,8 @@ LIGHT = 2
 LIGHT_SHARE = 16
 #: Rows of one pivot that a task compares; a pivot with more partners is dealt to several tasks.
 PARTNERS = 2048
+#: Pivots of a signature's group that one round compares at most; further rounds take the rest.
+PIVOTS = 32
 
 
 class Scheme:
@@ -241,7 +243,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Signatures are grouped by a sort on (signature, class), and every class of a
     group is compared with the one that shares most of its signatures. Links found so far are closed, and
     groups that still hold several components compare further pivots, in rounds of
-    doubling width, until no pair of different components that shares a
+    growing width, until no pair of different components that shares a
     signature is left untested. So no link between components is lost, and a
     group of near copies costs one comparison a member. Shingles and classes are
     told apart by 64-bit hashes.
@@ -293,16 +295,17 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     low, step = 0, 1
     while True:
         # members of groups that still hold several components, with their ranks
-        label = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("c"))
+        label = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("c"), "n")
+        _settle(spark)
         first = shared.where("rank = 1").select("sig", F.col("pivot").alias("key"), F.lit(0).cast("long").alias("rank"))
         members = shared.select("sig", "key", "rank").union(first).join(label, "key")
         open_ = members.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("rank").alias("top")).where("c0 <> c1").where(F.col("top") > low).select("sig")
         left = store.keep(members.join(open_, "sig"), f"open{low}")
-        pivots = left.where((F.col("rank") > low) & (F.col("rank") <= low + step)).select("sig", F.col("key").alias("a"), F.col("c").alias("ca"), F.col("rank").alias("ra"))
+        pivots = left.where((F.col("rank") > low) & (F.col("rank") <= low + step)).select("sig", F.col("key").alias("a"), F.col("c").alias("ca"), F.col("rank").alias("ra"), F.col("n").alias("na"))
         if not pivots.take(1):
             store.drop(left)
             break
-        across = left.select("sig", F.col("key").alias("b"), F.col("c").alias("cb"), F.col("rank").alias("rb")).join(pivots, "sig").where("rb > ra AND ca <> cb")
+        across = left.select("sig", F.col("key").alias("b"), F.col("c").alias("cb"), F.col("rank").alias("rb"), F.col("n").alias("nb")).join(pivots, "sig").where(f"rb > ra AND ca <> cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
         pairs = store.keep(sized(across.select("a", "b")).join(tested, ["u", "v"], "left_anti"), f"pairs{low + 1}")
         if pairs.take(1):
             found = verified(pairs, f"links{low + 1}")
@@ -311,7 +314,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 links = store.keep(links.union(found), f"all{low + 1}")
                 comp = store.keep(connected_components(links, store), f"comp{low + 1}")
         store.drop(left, pairs)
-        low, step = low + step, 2 * step
+        low, step = low + step, min(2 * step, PIVOTS)
     store.drop(shared, tested, links)
 
     by_key = store.keep(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component")), "by-key")
