@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import Scratch
@@ -23,7 +23,10 @@ LIGHT_SHARE = 16
 #: Rows of one pivot that a task compares; a pivot with more partners is dealt to several tasks.
 PARTNERS = 2048
 #: Pivots of a signature's group that one round compares at most; further rounds take the rest.
-PIVOTS = 32
+PIVOTS = 1024
+#: 64-bit words of the short sketch that travels with a signature.
+SHORT = 4
+WORDS = [f"s{i}" for i in range(SHORT)]
 
 
 class Scheme:
@@ -117,7 +120,7 @@ def parities(features: np.ndarray) -> bytes:
     A feature that only one of two sets has changes one bucket, so the sketches
     differ in no more bits than the sets in features.
     """
-    bits = 1 << max(6, int(1.5 * len(features)).bit_length())
+    bits = 1 << max((64 * SHORT).bit_length() - 1, int(1.5 * len(features)).bit_length())
     odd = np.bincount((features & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -132,6 +135,11 @@ def bits_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(one ^ two).sum())
 
 
+def short(parity: bytes) -> np.ndarray:
+    """A sketch folded to SHORT words; two of them differ in no more bits than the sketches do."""
+    return np.bitwise_xor.reduce(np.frombuffer(parity, np.int64).reshape(-1, SHORT))
+
+
 def _near(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,9 +156,11 @@ def _sketch(width: int):
             texts, ids = batch.column("text"), batch.column("doc_id")
             for a, b in slices(texts):
                 sets = shingle_sets(texts.slice(a, b - a), width)
+                sketches = [parities(s) for s in sets]
+                words = np.array([short(p) for p in sketches]).reshape(-1, SHORT)
                 yield pa.record_batch(
-                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary())],
-                    names=["doc_id", "n_shingles", "key", "parity"],
+                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array(sketches, pa.binary()), *(pa.array(w) for w in np.ascontiguousarray(words.T))],
+                    names=["doc_id", "n_shingles", "key", "parity", *WORDS],
                 )
 
     return run
@@ -175,31 +185,65 @@ def _signatures(width: int, percent: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by sig and with equal keys together: those of signatures that several keys have, each key once, with its rank there."""
+    """Of rows sorted by sig and key: those of signatures that several keys have, each key once."""
     last_sig = last_key = None
-    rank = carried = 0  # of the last key within its signature, and that signature's first key
+    alone = False  # whether the last key is its signature's only one as yet, and so not given out
     for batch in batches:
-        if not batch.num_rows:
-            continue
         sig, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new_sig = np.empty(len(sig), bool)
-        new_sig[1:] = sig[1:] != sig[:-1]
-        new_sig[0] = last_sig is None or sig[0] != last_sig
-        new_key = new_sig.copy()
-        new_key[1:] |= key[1:] != key[:-1]
-        new_key[0] |= key[0] != last_key
-        sig, key, new_sig = sig[new_key], key[new_key], new_sig[new_key]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+        if len(sig) and last_sig is not None:
+            new[0] = sig[0] != last_sig or key[0] != last_key
+        sig, key = sig[new], key[new]
         if not len(sig):
             continue
-        group = np.cumsum(new_sig)
-        first = np.flatnonzero(new_sig)
-        start = np.concatenate([[-(rank + 1)], first])  # a group carried over began rank + 1 keys before
-        ranks = np.arange(len(sig)) - start[group]
-        pivots = np.concatenate([[0 if last_sig is None else carried], key[first]])[group]
-        more = ranks > 0
-        if more.any():
-            yield pa.record_batch([pa.array(sig[more]), pa.array(pivots[more]), pa.array(key[more]), pa.array(ranks[more])], names=["sig", "pivot", "key", "rank"])
-        last_sig, last_key, rank, carried = sig[-1], key[-1], int(ranks[-1]), pivots[-1]
+        same = np.zeros(len(sig) + 1, bool)  # whether a row has the signature of the row before
+        same[1:-1] = sig[1:] == sig[:-1]
+        same[0] = last_sig is not None and sig[0] == last_sig
+        out = same[:-1] | same[1:]
+        if same[0] and alone:
+            yield pa.record_batch([pa.array([last_sig]), pa.array([last_key])], names=["sig", "key"])
+        if out.any():
+            yield pa.record_batch([pa.array(sig[out]), pa.array(key[out])], names=["sig", "key"])
+        last_sig, last_key, alone = sig[-1], key[-1], not same[-2]
+
+
+def _across(percent: int):
+    """Of rows (sig, salt, member, rank, u, c, n, s0, ...) sorted by the first three: pairs of a pivot (member 0) and a later
+    member of other component, where sizes and short sketches allow a link. Only the pivots of one signature are kept between batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            sig, salt, member, rank, u, c, n, *words = now
+            begins = np.ones(len(sig), bool)
+            begins[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
+            group, starts = np.cumsum(begins) - 1, np.flatnonzero(begins)
+            pivots = np.bincount(group, member == 0, len(starts)).astype(np.int64)
+            at = np.flatnonzero(member == 1)
+            found = []
+            for j in range(int(pivots.max())):
+                at = at[pivots[group[at]] > j]
+                to = starts[group[at]] + j
+                fit = (rank[at] > rank[to]) & (c[at] != c[to])
+                v, w = at[fit], to[fit]
+                least, most = np.minimum(n[v], n[w]), np.maximum(n[v], n[w])
+                fit = 100 * least >= percent * most
+                v, w, both = v[fit], w[fit], (least + most)[fit]
+                apart = sum(np.bitwise_count((s[v] ^ s[w]).view(U64)).astype(np.int64) for s in words)
+                fit = (100 + percent) * apart <= (100 - percent) * both
+                found.append(np.stack([u[w[fit]], u[v[fit]]]))
+            if found and (pairs := np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)).size:
+                yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+            kept = (group == group[-1]) & (member == 0)
+            held = [x[kept] for x in now]
+
+    return run
 
 
 def _compare(width: int, percent: int):
@@ -240,40 +284,40 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     be an integer; a row whose doc_id is null keeps a null component_id and links
     nothing. An empty table gives no rows; other columns are not read.
 
-    Signatures are grouped by a sort on (signature, class), and every class of a
-    group is compared with the one that shares most of its signatures. Links found so far are closed, and
-    groups that still hold several components compare further pivots, in rounds of
-    growing width, until no pair of different components that shares a
-    signature is left untested. So no link between components is lost, and a
-    group of near copies costs one comparison a member. Shingles and classes are
+    Signatures are grouped by a sort on (signature, class). In each group the class that
+    shares most of its signatures comes first, and every other one is compared with it: by
+    component, size and short sketch in the task that reads the group (large groups are dealt
+    to several tasks, each with the pivots), then by the full sketch, then by the texts. Links
+    found so far are closed, and groups whose later members are still of several components compare
+    further pivots, in rounds of growing width, until none is left. So no link
+    between components is lost, a group of near copies costs one comparison a
+    member, and pairs are rows only if their sketches allow a link. Shingles and classes are
     told apart by 64-bit hashes.
     """
     spark = df.sparkSession
     store = Scratch(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketch = store.keep(docs.mapInArrow(_sketch(width), "doc_id long, n_shingles long, key long, parity binary"), "sketch")
+    words = ", ".join(f"{w} long" for w in WORDS)
+    sketch = store.keep(docs.mapInArrow(_sketch(width), f"doc_id long, n_shingles long, key long, parity binary, {words}"), "sketch")
     known = sketch.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = store.keep(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("parity").alias("parity")), "classes")
+    classes = store.keep(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("parity").alias("parity"), *(F.max(w).alias(w) for w in WORDS)), "classes")
 
     sigs = docs.where("doc_id IS NOT NULL").mapInArrow(_signatures(width, percent), "sig long, key long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = "sig long, pivot long, key long, rank long"
-    met = store.keep(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, ranked), "met")
+    met = store.keep(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long"), "met")
     _settle(spark)
-    # a group's pivot is the class that shares most of its signatures: the text that others are copies of
-    member = met.select("sig", "key").union(met.where("rank = 1").select("sig", F.col("pivot").alias("key")))
-    degree = member.groupBy("key").agg(F.count(F.lit(1)).alias("d")).join(classes, "key").select("key", (F.col("d") / F.col("n")).alias("share"))
-    order = member.join(degree, "key").repartition(parts, "sig").sortWithinPartitions("sig", F.desc("share"), "key")
-    shared = store.keep(order.select("sig", "key").mapInArrow(_shared, ranked), "shared")
+    # a group's first is the class that shares most of its signatures: the text that others are copies of
+    sharing = met.groupBy("key").agg(F.count(F.lit(1)).alias("d")).join(classes, "key").select("key", (F.col("d") / F.col("n")).alias("share"), F.col("rep").alias("u"), "n", *WORDS)
+    order = Window.partitionBy("sig").orderBy(F.desc("share"), "u")
+    ranked = met.join(sharing, "key").select("sig", (F.row_number().over(order) - 1).cast("long").alias("rank"), "u", F.col("u").alias("c"), "n", *WORDS)
+    rest = store.keep(ranked, "shared")
     store.drop(met)
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs of class keys (a, b) as pairs of their first documents, where sizes and parities allow a link."""
-        one = classes.select(F.col("key").alias("a"), F.col("rep").alias("u"), F.col("n").alias("n_u"), F.col("parity").alias("p_u"))
-        two = classes.select(F.col("key").alias("b"), F.col("rep").alias("v"), F.col("n").alias("n_v"), F.col("parity").alias("p_v"))
-        both = pairs.distinct().join(one, "a").join(two, "b").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-        near = both.mapInArrow(_near(percent), "u long, v long")
-        return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those pairs of documents whose full sketches allow a link."""
+        one = classes.select(F.col("rep").alias("u"), F.col("n").alias("n_u"), F.col("parity").alias("p_u"))
+        two = classes.select(F.col("rep").alias("v"), F.col("n").alias("n_v"), F.col("parity").alias("p_v"))
+        return pairs.join(one, "u").join(two, "v").mapInArrow(_near(percent), "u long, v long")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
@@ -287,35 +331,38 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         store.drop(known_texts)
         return out
 
-    tested = store.keep(sized(shared.select(F.col("pivot").alias("a"), F.col("key").alias("b"))), "pairs0")
-    links = verified(tested, "links0")
-    _settle(spark)
-    comp = store.keep(connected_components(links, store), "comp0")
-
-    low, step = 0, 1
+    links = comp = tested = None
+    low, step = -1, 1  # ranks up to `low` have met all others of their groups
     while True:
-        # members of groups that still hold several components, with their ranks
-        label = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("c"), "n")
-        _settle(spark)
-        first = shared.where("rank = 1").select("sig", F.col("pivot").alias("key"), F.lit(0).cast("long").alias("rank"))
-        members = shared.select("sig", "key", "rank").union(first).join(label, "key")
-        open_ = members.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("rank").alias("top")).where("c0 <> c1").where(F.col("top") > low).select("sig")
-        left = store.keep(members.join(open_, "sig"), f"open{low}")
-        pivots = left.where((F.col("rank") > low) & (F.col("rank") <= low + step)).select("sig", F.col("key").alias("a"), F.col("c").alias("ca"), F.col("rank").alias("ra"), F.col("n").alias("na"))
-        if not pivots.take(1):
+        open_ = rest.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.ceil(F.count(F.lit(1)) / PARTNERS).alias("salts")).where("c0 <> c1").select("sig", "salts")
+        left = store.keep(rest.join(open_, "sig"), f"open{low + 1}")
+        store.drop(rest)
+        if not left.take(1):
             store.drop(left)
             break
-        across = left.select("sig", F.col("key").alias("b"), F.col("c").alias("cb"), F.col("rank").alias("rb"), F.col("n").alias("nb")).join(pivots, "sig").where(f"rb > ra AND ca <> cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        pairs = store.keep(sized(across.select("a", "b")).join(tested, ["u", "v"], "left_anti"), f"pairs{low + 1}")
+        columns = ["rank", "u", "c", "n", *WORDS]
+        member = left.select("sig", F.pmod(F.xxhash64("u"), "salts").alias("salt"), F.lit(1).cast("long").alias("member"), *columns)
+        pivot = left.where(F.col("rank") <= low + step).select("sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).cast("long").alias("member"), *columns)
+        dealt = member.union(pivot).repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "member")
+        apart = dealt.mapInArrow(_across(percent), "u long, v long").distinct()
+        pairs = store.keep(near(apart if tested is None else apart.join(tested, ["u", "v"], "left_anti")), f"pairs{low + 1}")
+        found = None
         if pairs.take(1):
             found = verified(pairs, f"links{low + 1}")
-            tested = store.keep(tested.union(pairs), f"tested{low + 1}")
+            tested = pairs if tested is None else store.keep(tested.union(pairs), f"tested{low + 1}")
             if found.take(1):
-                links = store.keep(links.union(found), f"all{low + 1}")
+                links = found if links is None else store.keep(links.union(found), f"all{low + 1}")
                 comp = store.keep(connected_components(links, store), f"comp{low + 1}")
-        store.drop(left, pairs)
-        low, step = low + step, min(2 * step, PIVOTS)
-    store.drop(shared, tested, links)
+            else:
+                found = None
+        rest = left.where(F.col("rank") > low + step).drop("salts")
+        if found is not None:
+            rest = rest.drop("c").join(comp.select(F.col("node").alias("u"), F.col("component").alias("c1")), "u", "left").select("sig", "rank", "u", F.coalesce("c1", "u").alias("c"), "n", *WORDS)
+        rest = store.keep(rest, f"rest{low + 1}")
+        store.drop(left)
+        _settle(spark)
+        low, step = low + step, min(4 * step, PIVOTS)
 
+    comp = spark.createDataFrame([], "node long, component long") if comp is None else comp
     by_key = store.keep(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component")), "by-key")
     return sketch.join(by_key, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
