@@ -286,10 +286,10 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Signatures are grouped by a sort on (signature, class). In each group the class that
     shares most of its signatures comes first, and every other one is compared with it: by
-    component, size and short sketch in the task that reads the group (large groups are dealt
-    to several tasks, each with the pivots), then by the full sketch, then by the texts. Links
+    size and short sketch as the group is ranked, then by the full sketch, then by the texts. Links
     found so far are closed, and groups whose later members are still of several components compare
-    further pivots, in rounds of growing width, until none is left. So no link
+    further pivots in the same way, in rounds of growing width, until none is left; a large group
+    is dealt to several tasks, each with the round's pivots. So no link
     between components is lost, a group of near copies costs one comparison a
     member, and pairs are rows only if their sketches allow a link. Shingles and classes are
     told apart by 64-bit hashes.
@@ -309,8 +309,10 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # a group's first is the class that shares most of its signatures: the text that others are copies of
     sharing = met.groupBy("key").agg(F.count(F.lit(1)).alias("d")).join(classes, "key").select("key", (F.col("d") / F.col("n")).alias("share"), F.col("rep").alias("u"), "n", *WORDS)
     order = Window.partitionBy("sig").orderBy(F.desc("share"), "u")
-    ranked = met.join(sharing, "key").select("sig", (F.row_number().over(order) - 1).cast("long").alias("rank"), "u", F.col("u").alias("c"), "n", *WORDS)
-    rest = store.keep(ranked, "shared")
+    ranked = met.join(sharing, "key").select("sig", (F.row_number().over(order) - 1).cast("int").alias("rank"), "u", "n", *WORDS, F.first(F.struct("u", "n", *WORDS)).over(order).alias("p"))
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("p")[w])) for w in WORDS), F.lit(0))
+    fit = (F.col("u") != F.col("p.u")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("p.n")))
+    shared = store.keep(ranked.select("sig", "rank", "u", F.when(fit, F.col("p.u")).alias("first")), "shared")
     store.drop(met)
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -331,38 +333,40 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         store.drop(known_texts)
         return out
 
-    links = comp = tested = None
-    low, step = -1, 1  # ranks up to `low` have met all others of their groups
+    firsts = shared.where("first IS NOT NULL").select(F.least("u", "first").alias("u"), F.greatest("u", "first").alias("v")).distinct()
+    tested = store.keep(near(firsts), "pairs0")
+    links = verified(tested, "links0")
+    comp = store.keep(connected_components(links, store), "comp0")
+    _settle(spark)
+
+    rest = shared.where("rank > 0").select("sig", "rank", "u")
+    low, step = 0, 4  # ranks up to `low` have met all others of their groups
     while True:
-        open_ = rest.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.ceil(F.count(F.lit(1)) / PARTNERS).alias("salts")).where("c0 <> c1").select("sig", "salts")
-        left = store.keep(rest.join(open_, "sig"), f"open{low + 1}")
-        store.drop(rest)
+        label = rest.join(comp.withColumnRenamed("node", "u"), "u", "left").select("sig", "rank", "u", F.coalesce("component", "u").alias("c"))
+        open_ = label.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.ceil(F.count(F.lit(1)) / PARTNERS).alias("salts")).where("c0 <> c1").select("sig", "salts")
+        left = store.keep(label.join(open_, "sig"), f"open{low}")
         if not left.take(1):
             store.drop(left)
             break
-        columns = ["rank", "u", "c", "n", *WORDS]
-        member = left.select("sig", F.pmod(F.xxhash64("u"), "salts").alias("salt"), F.lit(1).cast("long").alias("member"), *columns)
-        pivot = left.where(F.col("rank") <= low + step).select("sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).cast("long").alias("member"), *columns)
+        wide = left.join(classes.select(F.col("rep").alias("u"), "n", *WORDS), "u")
+        columns = [F.col("rank").cast("long").alias("rank"), "u", "c", "n", *WORDS]
+        member = wide.select("sig", F.pmod(F.xxhash64("u"), "salts").alias("salt"), F.lit(1).cast("long").alias("member"), *columns)
+        pivot = wide.where(F.col("rank") <= low + step).select("sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).cast("long").alias("member"), *columns)
         dealt = member.union(pivot).repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "member")
         apart = dealt.mapInArrow(_across(percent), "u long, v long").distinct()
-        pairs = store.keep(near(apart if tested is None else apart.join(tested, ["u", "v"], "left_anti")), f"pairs{low + 1}")
-        found = None
+        low += step
+        pairs = store.keep(near(apart.join(tested, ["u", "v"], "left_anti")), f"pairs{low}")
         if pairs.take(1):
-            found = verified(pairs, f"links{low + 1}")
-            tested = pairs if tested is None else store.keep(tested.union(pairs), f"tested{low + 1}")
+            found = verified(pairs, f"links{low}")
+            tested = store.keep(tested.union(pairs), f"tested{low}")
             if found.take(1):
-                links = found if links is None else store.keep(links.union(found), f"all{low + 1}")
-                comp = store.keep(connected_components(links, store), f"comp{low + 1}")
-            else:
-                found = None
-        rest = left.where(F.col("rank") > low + step).drop("salts")
-        if found is not None:
-            rest = rest.drop("c").join(comp.select(F.col("node").alias("u"), F.col("component").alias("c1")), "u", "left").select("sig", "rank", "u", F.coalesce("c1", "u").alias("c"), "n", *WORDS)
-        rest = store.keep(rest, f"rest{low + 1}")
+                links = store.keep(links.union(found), f"all{low}")
+                comp = store.keep(connected_components(links, store), f"comp{low}")
+        rest = store.keep(left.where(F.col("rank") > low).select("sig", "rank", "u"), f"rest{low}")
         store.drop(left)
         _settle(spark)
-        low, step = low + step, min(4 * step, PIVOTS)
+        step = min(4 * step, PIVOTS)
+    store.drop(shared)
 
-    comp = spark.createDataFrame([], "node long, component long") if comp is None else comp
     by_key = store.keep(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component")), "by-key")
     return sketch.join(by_key, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
