@@ -28,6 +28,9 @@ PIVOTS = 1024
 SHORT = 4
 WORDS = [f"s{i}" for i in range(SHORT)]
 
+#: Bits of the filter that goes before a join of texts with ids, 2 MB in all however many ids there are.
+FILTER_BITS = 1 << 24
+
 
 class Scheme:
     """PartEnum for Jaccard >= percent / 100.
@@ -267,6 +270,19 @@ def _compare(width: int, percent: int):
     return run
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id may be one of `ids`: those whose hash marks a set bit.
+
+    The bits are at most FILTER_BITS / 32768 rows of 4 KB, so they can be broadcast at any size; a join
+    with the ids must follow, and shuffles little else than the rows it keeps.
+    """
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = ids.select(at.alias("at")).groupBy(F.expr("at div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    paged = docs.withColumn("at", at).withColumn("page", F.expr("at div 32768")).join(F.broadcast(bits), "page")
+    byte = "cast(conv(hex(substring(bits, cast(at % 32768 div 8 + 1 as int), 1)), 16, 10) as int)"
+    return paged.where(F.expr(f"shiftright({byte}, cast(at % 8 as int)) & 1 = 1")).select(*docs.columns)
+
+
 def _settle(spark) -> None:
     """Lets Spark remove the shuffle files of jobs that are over."""
     gc.collect()
@@ -323,7 +339,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-        known_texts = store.keep(docs.join(ids, "doc_id").dropDuplicates(["doc_id"]), name + "-texts")
+        known_texts = store.keep(_among(docs, ids).join(ids, "doc_id").dropDuplicates(["doc_id"]), name + "-texts")
         counts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("salts"))
         salted = pairs.join(counts, "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")))
         member = salted.select("u", "salt", "v").join(known_texts.withColumnRenamed("doc_id", "v"), "v").select("u", "salt", "v", "text")

@@ -59,6 +59,15 @@ def test_no_rows_and_null_ids(docs, spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in got if r.doc_id) == [(3, 3), (9, 3)]
 
 
+def test_filter_keeps_every_id_and_little_else(docs, spark):
+    all_ = docs([(i, "t", "en", "s") for i in range(-500, 4500)]).select("doc_id", "text")
+    want = {*range(-500, 4500, 7)}
+    ids = spark.createDataFrame([(i,) for i in want], "doc_id long")
+    got = {r.doc_id for r in ngram_join._among(all_, ids).collect()}
+    assert want <= got and len(got) < len(want) + 20
+    assert ngram_join._among(all_, ids.limit(0)).collect() == []
+
+
 def test_scheme_shares_a_signature_for_every_similar_pair():
     import numpy as np
 
