@@ -14,9 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SPACE = regex.compile(r"\s")
-#: Pieces and states that a worker keeps; beyond that it starts anew, which costs time only.
-KEPT_PIECES, KEPT_STATES = 300_000, 300_000
+#: Pieces (twice so many, with the older ones) and moves that a worker keeps; beyond that it makes them anew, which costs time only.
+KEPT_PIECES, KEPT_STATES = 200_000, 400_000
 
 
 class Ranks:
@@ -74,7 +73,7 @@ class Ranks:
         """
         found = self._pairs.get((a, b))
         if found is None:
-            if len(self._pairs) > 2 * KEPT_STATES:
+            if len(self._pairs) > KEPT_STATES:
                 self._pairs.clear()
             found = self._pairs[a, b] = self._stay_apart(a, b)
         return found
@@ -102,73 +101,90 @@ class Transducer:
     the encoding of its own bytes, so the last token of the encoding of each
     prefix decides the whole. A state holds, for every place from which some
     token may still extend past the bytes read (and for the place reached), the
-    tokens from the last emitted one up to it and the trie node of the bytes
-    since. When all places share their first token it is emitted: the lookahead
-    is at most the longest token. States and their moves are made when first
-    met and kept by number.
+    trie node of the bytes since and the last token before it. A move gives the
+    last token of the prefix read. The sequences that end at a state's places
+    begin alike: what they share is emitted, at the end of each block, and only the rest is
+    kept. States and their moves are made when first met and kept by number.
     """
 
-    START = ((0, ()),)
+    START = ((0, -1),)
+    BLOCK = 1024
 
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
+        self.length = [0] * (max(ranks.bytes) + 1)
+        for i, b in ranks.bytes.items():
+            self.length[i] = len(b)
+        self.depth = [0] * len(ranks.step)
+        for node, steps in enumerate(ranks.step):  # a node comes before those below it
+            for below in steps.values():
+                self.depth[below] = self.depth[node] + 1
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.begin = self._intern(self.START, -1)
-
-    def _intern(self, places: tuple, before: int) -> int:
-        key = (places, before)
-        if key not in self.number:
-            self.number[key] = len(self.states)
-            self.states.append(key)
-            self.moves.append({})
-        return self.number[key]
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        places, before = self.states[state]
-        ranks, live, reached = self.ranks, [], None
-        for node, path in places:  # earliest first, so the longest token that fits is taken
+        self.moves: dict[int, tuple[int, int]] = {}
+        self._intern(self.START)
+
+    def _intern(self, places: tuple) -> int:
+        number = self.number.get(places)
+        if number is None:
+            number = self.number[places] = len(self.states)
+            self.states.append(places)
+        return number
+
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        ranks, live, reached = self.ranks, [], -1
+        for node, last in self.states[state]:  # earliest first, so the longest token that fits is taken
             nxt = ranks.step[node].get(byte)
             if nxt is None:
                 continue
             token = ranks.token[nxt]
-            if token >= 0 and reached is None:
-                last = path[-1] if path else before
-                if last < 0 or ranks.follows(last, token):
-                    reached = (0, (*path, token))
+            if reached < 0 <= token and (last < 0 or ranks.follows(last, token)):
+                reached = token
             if ranks.step[nxt]:
-                live.append((nxt, path))
-        if reached is None:
+                live.append((nxt, last))
+        if reached < 0:
             raise ValueError("the vocabulary lacks a byte")
-        live.append(reached)
-        first = live[0][1]
-        shared = len(first)
-        for _, path in live:
-            if not shared:
-                return self._intern(tuple(live), before), ()
-            shared = min(shared, len(path))
-            while path[:shared] != first[:shared]:
-                shared -= 1
-        if not shared:
-            return self._intern(tuple(live), before), ()
-        return self._intern(tuple([(n, p[shared:]) for n, p in live]), first[shared - 1]), first[:shared]
+        live.append((0, reached))
+        move = self.moves[state << 8 | byte] = self._intern(tuple(live)), reached
+        return move
+
+    def _back(self, last: list[int], end: int) -> list[int]:
+        """The tokens up to `end`, given the last token before each place."""
+        out = []
+        while end:
+            out.append(last[end - 1])
+            end -= self.length[out[-1]]
+        out.reverse()
+        return out
+
+    def _sure(self, last: list[int], state: int) -> int:
+        """The place up to which the sequences to all places of a state agree."""
+        ends = {len(last) - self.depth[node] for node, _ in self.states[state]}
+        while len(ends) > 1:
+            end = max(ends)
+            ends.remove(end)
+            ends.add(end - self.length[last[end - 1]])
+        return ends.pop()
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > KEPT_STATES:
-            self.clear()
-        state, out, moves = self.begin, [], self.moves
-        for byte in piece:
-            move = moves[state].get(byte)
-            if move is None:
-                move = moves[state][byte] = self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        return out + list(self.states[state][0][-1][1])
+        state, last, out = 0, [], []
+        for at in range(0, len(piece), self.BLOCK):
+            if len(self.moves) > KEPT_STATES:
+                places = self.states[state]
+                self.clear()
+                state = self._intern(places)
+            known = self.moves.get
+            for byte in piece[at : at + self.BLOCK]:
+                state, token = known(state << 8 | byte) or self._move(state, byte)
+                last.append(token)
+            if at + self.BLOCK < len(piece):
+                sure = self._sure(last, state)
+                out += self._back(last, sure)
+                del last[:sure]
+        return out + self._back(last, len(last))
 
 
 class Utf8Machine:
@@ -226,54 +242,31 @@ class Codec:
             self.ranks = Ranks({base64.b64decode(a): int(b) for a, b in pairs})
         self.pattern = regex.compile(pattern)
         self.machine = Transducer(self.ranks)
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.pieces: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8", "surrogatepass")
-        whole = self.ranks.ids.get(raw)
-        ids = (whole,) if whole is not None else tuple(self.machine.encode(raw))
+    def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
+        """Of a piece that `pieces` lacks. Full, it becomes the older one, from which pieces still met are taken over."""
+        found = self.older.get(piece)
+        if found is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            whole = self.ranks.ids.get(raw)
+            ids = (whole,) if whole is not None else tuple(self.machine.encode(raw))
+            found = ids, ",".join(map(str, ids))
         if len(self.pieces) >= KEPT_PIECES:
-            self.pieces.clear()
+            self.older, self.pieces = self.pieces, {}
         if len(piece) <= 64:
-            self.pieces[piece] = ids
-        return ids
-
-    def _pieces(self, text: str) -> tuple[tuple[int, ...], str]:
-        known, out = self.pieces.get, []
-        for piece in self.pattern.findall(text):
-            out += known(piece) or self._piece(piece)
-        return tuple(out), ",".join(map(str, out))
-
-    def _chunk(self, word: str) -> tuple[tuple[int, ...], str] | None:
-        """A space and the text up to the next one; None where white space follows the space."""
-        if not word or word[0].isspace() or _SPACE.match(word):
-            return None
-        found = self._pieces(" " + word)
-        if len(self.chunks) >= KEPT_PIECES:
-            self.chunks.clear()
-        if len(word) <= 64:
-            self.chunks[word] = found
+            self.pieces[piece] = found
         return found
 
     def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """The text's ids, and their decimals joined by commas, for stretches of it in order.
-
-        Where no space is followed by white space, no match of the pattern runs
-        across the place before a space: only runs of white space hold a space
-        that is not their first character, and such a run would hold white space after it or
-        end in it, and then it is left to the next match. So texts are read in
-        stretches that begin at a space and are known by heart; any other text is
-        matched as a whole. (The pattern must be of this kind, as the public one is.)
-        """
-        first, *words = text.split(" ")
-        found = list(map(self.chunks.get, words))
-        for i, entry in enumerate(found):
-            if entry is None:
-                found[i] = entry = self._chunk(words[i])
-                if entry is None:
-                    return [self._pieces(text)] if text else []
-        return [self._pieces(first), *found] if first else found
+        """For each match of the pattern its ids, and their decimals joined by commas."""
+        pieces = self.pattern.findall(text)
+        found = list(map(self.pieces.get, pieces))
+        for i, known in enumerate(found):
+            if known is None:
+                found[i] = self.pieces.get(pieces[i]) or self._piece(pieces[i])
+        return found
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable([ids for ids, _ in self.parts(text)]))

@@ -71,3 +71,19 @@ def test_counts_equal_the_library(docs):
     rows = count_tokens(docs(EDGES, extra=True), public.path("piece_bpe_32k.model")).collect()
     text = {r[0]: r[1] for r in EDGES}
     assert sorted((r.doc_id, r.n_tokens) for r in rows) == sorted((i, counter.count(text[i] or "")) for i, *_ in EDGES)
+
+
+def test_long_pieces_and_small_caches_change_nothing(codec, monkeypatch):
+    import tiktoken
+
+    from millrace.llm import byte_bpe
+
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=codec.ranks.ids, special_tokens={})
+    rng = random.Random(4)
+    long = ["".join(rng.choice(["th", "e", "in", "tion", "ß", "ñ", "zz"]) for _ in range(6000)) for _ in range(4)] + ["a" * 9000, "é" * 5000]
+    few = Codec(public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+    monkeypatch.setattr(byte_bpe, "KEPT_PIECES", 5)
+    monkeypatch.setattr(byte_bpe, "KEPT_STATES", 50)
+    monkeypatch.setattr(byte_bpe.Transducer, "BLOCK", 7)
+    for t in [*long, *texts(5, 300)]:
+        assert few.encode(t) == own.encode_ordinary(t)
