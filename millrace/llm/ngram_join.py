@@ -16,8 +16,6 @@ from ._store import Scratch
 from ._text import U64, mix, shingle_sets, slices
 from .components import connected_components
 
-#: Least features for a signature that is not counted as light; see Scheme.
-LIGHT = 2
 #: Of k, the share by which there are more first-level parts than needed; see Scheme.
 LIGHT_SHARE = 16
 #: Rows of one pivot that a task compares; a pivot with more partners is dealt to several tasks.
@@ -48,12 +46,12 @@ class Scheme:
     k // (miss + 1) + 1 + e first-level parts, so e + 1 of them at least differ in
     no more than `miss` features, and for each of these one signature agrees.
 
-    A signature of fewer than LIGHT features is light. A set with light signatures
-    in at most e first-level parts leaves its light ones out: of the e + 1 agreeing
-    signatures one lies elsewhere and is not light, and as it has the same
-    features in the other set, that one gives it too. A set with more gives all
-    its signatures. So no pair is lost, and parts that are empty or hold a few
-    common shingles bring no strangers together.
+    A set leaves out its signatures of fewer than t features, with the largest t for which
+    it has such ones in at most e first-level parts. Of two similar sets take the one with the
+    larger t: of the e + 1 agreeing signatures one lies in a part where that set leaves out
+    none, so it has t features or more, and the other set, with the same features there and
+    no larger t, gives it too. So no pair is lost, and parts that are empty or hold a few
+    common shingles bring few strangers together.
     """
 
     def __init__(self, percent: int):
@@ -106,8 +104,7 @@ class Scheme:
                 turned = mix(content[:, j] + U64(j + 1))
                 sig += turned[:, None] * chosen[None, :, j].astype(U64)
             sig = mix(sig)
-            light = size < LIGHT
-            out.append(sig[~light] if int(light.any(1).sum()) <= e else sig.ravel())
+            out.append(sig[size >= np.partition(size.min(1), e)[e]])
         return np.concatenate(out)
 
 

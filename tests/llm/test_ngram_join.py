@@ -83,3 +83,21 @@ def test_scheme_shares_a_signature_for_every_similar_pair():
             assert bits_apart(parities(a), parities(b)) <= len(a) + len(b) - 2 * both
             if 100 * both >= 85 * (len(a) + len(b) - both) and not np.array_equal(a, b):
                 assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b)))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_similar_sets_share_a_signature(percent):
+    import numpy as np
+
+    from millrace.llm.ngram_join import Scheme
+
+    scheme, rng = Scheme(percent), np.random.default_rng(percent)
+    for n in [1, 2, 5, 9, 20, 60, 200, 500, 1500] * 8:
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        out = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+        both = np.sort(rng.choice(a, len(a) - out, replace=False))
+        more = max(0, (100 * len(both) - percent * len(a)) // percent)
+        b = np.unique(np.concatenate([both, rng.integers(0, 1 << 63, int(rng.integers(0, more + 1)), dtype=np.uint64)]))
+        if np.array_equal(a, b) or 100 * len(both) < percent * (len(a) + len(b) - len(both)):
+            continue
+        assert np.intersect1d(scheme.signatures(a), scheme.signatures(b)).size
