@@ -3,6 +3,8 @@ import re
 from itertools import combinations
 
 
+import pytest
+
 from edges import EDGES
 
 from millrace.llm import ngram_join
@@ -89,8 +91,6 @@ def test_scheme_shares_a_signature_for_every_similar_pair():
 def test_similar_sets_share_a_signature(percent):
     import numpy as np
 
-    from millrace.llm.ngram_join import Scheme
-
     scheme, rng = Scheme(percent), np.random.default_rng(percent)
     for n in [1, 2, 5, 9, 20, 60, 200, 500, 1500] * 8:
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
