@@ -56,10 +56,10 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[], [], [], [], []]
         for t in batch.column("text"):
             own, passages = parse(t.as_py() or "")
-            outer = [(rank, h) for rank, (level, p) in enumerate(x for x in passages if x[0] == 1) for h in units(p)]
-            for c, v in zip(cols, (own, len(passages), max((n for n, _ in passages), default=0), units(own), [{"rank": r, "h": h} for r, h in outer])):
+            quoted = [{"level": level, "rank": rank, "h": h} for rank, (level, p) in enumerate(passages) for h in units(p)]
+            for c, v in zip(cols, (own, len(passages), max((n for n, _ in passages), default=0), units(own), quoted)):
                 c.append(v)
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("rank", pa.int32()), ("h", pa.int64())])))
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("level", pa.int32()), ("rank", pa.int32()), ("h", pa.int64())])))
         kept = [batch.column(n) for n in ("conv_id", "turn", "role", "tag")]
         yield pa.record_batch([*kept, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["conv_id", "turn", "role", "tag", "body", "n_quotes", "max_level", "units", "quoted"])
 
@@ -69,13 +69,16 @@ def link_quotes(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
 
     Returns conv_id, turn, role, body (the text without quotes), n_quotes,
     max_level, parent_conv and parent_turn (the quoted original), path (turns
-    from the thread's first message to this one) and position (from 0 in reply
+    from the thread's first message to this one), position (from 0 in reply
     order: by path, so that a reply follows what it answers; without quotes, by
-    turn). The parent is the first message whose own text, a paragraph or a line
-    of it equals the first level-1 passage that has an original, or such a part
-    of it: one of the same conversation and an earlier turn if there is one, else the
-    earliest of all conversations. Only parents of the same conversation and an earlier turn
-    make a path. Messages with the same conversation and turn share one path and
+    turn) and origins (rank, level, conv and turn for each passage, of whatever level,
+    that has an original; rank counts a message's passages from 0).
+    The original of a passage is the first message whose own text, a paragraph or a line
+    of it equals the passage or such a part of it: one of the same conversation and an
+    earlier turn if there is one, else the earliest of all conversations. The parent is
+    the original of a passage of the shallowest level that has any: of the first in the
+    same conversation, else of the first. Only parents of the same conversation and an earlier turn
+    make a path. Messages with the same conversation and turn share one parent and path and
     are ordered by role and text. Null texts are empty; messages with a null
     conversation or turn have no parent and are nobody's.
 
@@ -87,18 +90,22 @@ def link_quotes(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     store = Scratch(df.sparkSession)
     kinds = {c: df.schema[c].dataType.simpleString() for c in (conv_id, turn)}
     read = df.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).alias("text"), F.xxhash64(F.col(role), F.col(text)).alias("tag"))
-    schema = f"conv_id {kinds[conv_id]}, turn {kinds[turn]}, role string, tag long, body string, n_quotes int, max_level int, units array<long>, quoted array<struct<rank: int, h: long>>"
+    schema = f"conv_id {kinds[conv_id]}, turn {kinds[turn]}, role string, tag long, body string, n_quotes int, max_level int, units array<long>, quoted array<struct<level: int, rank: int, h: long>>"
     said = store.keep(read.mapInArrow(_parsed, schema), "said")
     named = said.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    asked = store.keep(named.where("size(quoted) > 0").select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.rank", "q.h").distinct(), "asked")
+    asked = store.keep(named.where("size(quoted) > 0").select("conv_id", "turn", "tag", F.explode("quoted").alias("q")).select("conv_id", "turn", "tag", "q.level", "q.rank", "q.h").distinct(), "asked")
     own = named.select("conv_id", "turn", F.explode("units").alias("h")).join(asked.select("h").distinct(), "h", "left_semi")
     here = own.groupBy("h", "conv_id").agg(F.min("turn").alias("at"))
     first = store.keep(here.groupBy("h").agg(F.min(F.struct("conv_id", "at")).alias("any")), "first")
     near = asked.join(here, ["h", "conv_id"], "left").join(first, "h")
     inside = F.col("at") < F.col("turn")
     away = F.col("any.conv_id") != F.col("conv_id")
-    link = F.when(inside, F.struct(F.lit(0).alias("o"), "rank", F.col("conv_id").alias("c"), F.col("at").alias("t"))).when(away, F.struct(F.lit(1).alias("o"), "rank", F.col("any.conv_id").alias("c"), F.col("any.at").alias("t")))
-    parents = store.keep(near.select("conv_id", "turn", link.alias("p")).where("p IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("p").alias("p")).select("conv_id", "turn", F.col("p.c").alias("parent_conv"), F.col("p.t").alias("parent_turn")), "parents")
+    link = F.when(inside, F.struct(F.lit(0).alias("o"), F.col("conv_id").alias("c"), F.col("at").alias("t"))).when(away, F.struct(F.lit(1).alias("o"), F.col("any.conv_id").alias("c"), F.col("any.at").alias("t")))
+    linked = near.select("conv_id", "turn", "tag", "level", "rank", link.alias("p")).where("p IS NOT NULL")
+    origin = store.keep(linked.groupBy("conv_id", "turn", "tag", "level", "rank").agg(F.min("p").alias("p")), "origin")
+    nearest = F.min(F.struct("level", "p.o", "rank", "p.c", "p.t")).alias("p")
+    parents = store.keep(origin.groupBy("conv_id", "turn").agg(nearest).select("conv_id", "turn", F.col("p.c").alias("parent_conv"), F.col("p.t").alias("parent_turn")), "parents")
+    origins = origin.groupBy("conv_id", "turn", "tag").agg(F.array_sort(F.collect_list(F.struct("rank", "level", F.col("p.c").alias("conv"), F.col("p.t").alias("turn")))).alias("origins"))
 
     # paths of the messages that have a parent in their conversation; all others stand alone
     inner = parents.where("parent_conv = conv_id").select("conv_id", "turn", F.array("turn").alias("path"), F.col("parent_turn").alias("up"))
@@ -112,11 +119,13 @@ def link_quotes(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
         store.drop(paths)
         paths = after
 
-    full = said.join(parents, ["conv_id", "turn"], "left").join(paths.drop("up"), ["conv_id", "turn"], "left")
+    full = said.join(origins, ["conv_id", "turn", "tag"], "left").join(parents, ["conv_id", "turn"], "left").join(paths.drop("up"), ["conv_id", "turn"], "left")
     full = full.withColumn("path", F.coalesce("path", F.when(F.col("turn").isNotNull(), F.array("turn")), F.expr("slice(array(turn), 1, 0)")))
-    full = store.keep(full.select("conv_id", "turn", "role", "tag", "body", "n_quotes", "max_level", "parent_conv", "parent_turn", "path", F.floor(F.try_element_at("path", F.lit(1)) / SPAN).alias("span")), "full")
+    none = origins.schema["origins"].dataType.simpleString()
+    full = full.withColumn("origins", F.coalesce("origins", F.from_json(F.lit("[]"), none)))
+    full = store.keep(full.select("conv_id", "turn", "role", "tag", "body", "n_quotes", "max_level", "parent_conv", "parent_turn", "path", "origins", F.floor(F.try_element_at("path", F.lit(1)) / SPAN).alias("span")), "full")
     spans = full.groupBy("conv_id", "span").agg(F.count(F.lit(1)).alias("n"))
     offset = spans.withColumn("shift", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("conv_id", "span").orderBy("path", "role", "tag"))
     placed = full.withColumn("rank", rank).alias("f").join(offset.alias("o"), F.col("f.conv_id").eqNullSafe(F.col("o.conv_id")) & F.col("f.span").eqNullSafe(F.col("o.span")))
-    return placed.select("f.conv_id", "f.turn", "f.role", "f.body", "f.n_quotes", "f.max_level", "f.parent_conv", "f.parent_turn", "f.path", (F.col("o.shift") + F.col("f.rank") - 1).cast("long").alias("position"))
+    return placed.select("f.conv_id", "f.turn", "f.role", "f.body", "f.n_quotes", "f.max_level", "f.parent_conv", "f.parent_turn", "f.path", (F.col("o.shift") + F.col("f.rank") - 1).cast("long").alias("position"), "f.origins")
