@@ -39,16 +39,21 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip("\n"), [(n, "\n".join(x)) for n, x in passages]
 
 
-def unit_hash(text: str) -> int | None:
-    """Of the case-folded letters and digits; None where there are none."""
+def unit_hash(text: str) -> tuple[int, int] | None:
+    """A hash and the number of the case-folded letters and digits; None where there are none."""
     plain = "".join(c for c in text.casefold() if c.isalnum())
-    return int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if plain else None
+    return (int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True), len(plain)) if plain else None
 
 
-def units(text: str) -> list[int]:
-    """Hashes under which a passage may be quoted: the whole, its paragraphs and its lines."""
-    found = [unit_hash(text), *(unit_hash(p) for p in re.split(r"\n\s*\n", text)), *(unit_hash(x) for x in text.split("\n"))]
-    return list(dict.fromkeys(h for h in found if h is not None))
+def units(text: str) -> list[tuple[int, int, int]]:
+    """(kind, hash, size) of what a passage may be quoted by: the whole (kind 0), its paragraphs (1) and its lines (2)."""
+    parts = ([text], re.split(r"\n\s*\n", text), text.split("\n"))
+    found: dict[int, tuple[int, int, int]] = {}
+    for kind, part in enumerate(parts):
+        for x in part:
+            if known := unit_hash(x):
+                found.setdefault(known[0], (kind, *known))
+    return list(found.values())
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,10 +61,10 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[], [], [], [], []]
         for t in batch.column("text"):
             own, passages = parse(t.as_py() or "")
-            quoted = [{"level": level, "rank": rank, "h": h} for rank, (level, p) in enumerate(passages) for h in units(p)]
-            for c, v in zip(cols, (own, len(passages), max((n for n, _ in passages), default=0), units(own), quoted)):
+            quoted = [{"level": level, "rank": rank, "kind": kind, "h": h, "n": n} for rank, (level, p) in enumerate(passages) for kind, h, n in units(p)]
+            for c, v in zip(cols, (own, len(passages), max((n for n, _ in passages), default=0), [h for _, h, _ in units(own)], quoted)):
                 c.append(v)
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("level", pa.int32()), ("rank", pa.int32()), ("h", pa.int64())])))
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("level", pa.int32()), ("rank", pa.int32()), ("kind", pa.int32()), ("h", pa.int64()), ("n", pa.int32())])))
         kept = [batch.column(n) for n in ("conv_id", "turn", "role", "tag")]
         yield pa.record_batch([*kept, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["conv_id", "turn", "role", "tag", "body", "n_quotes", "max_level", "units", "quoted"])
 
@@ -73,36 +78,53 @@ def link_quotes(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     order: by path, so that a reply follows what it answers; without quotes, by
     turn) and origins (rank, level, conv and turn for each passage, of whatever level,
     that has an original; rank counts a message's passages from 0).
-    The original of a passage is the first message whose own text, a paragraph or a line
-    of it equals the passage or such a part of it: one of the same conversation and an
-    earlier turn if there is one, else the earliest of all conversations. The parent is
-    the original of a passage of the shallowest level that has any: of the first in the
-    same conversation, else of the first. Only parents of the same conversation and an earlier turn
+    The passage as a whole, its paragraphs and its lines are looked for among whole messages,
+    their paragraphs and their lines. For each the latest earlier turn of the same conversation that
+    holds it is found, or where there is none the least other conversation and its first turn that does. A
+    passage's original is, of those in the same conversation if any, the one whose finds (of one
+    kind) cover most letters and digits of it; of equal ones that found by the whole, then by
+    paragraphs, then the latest turn. The parent is the original of a passage of the
+    shallowest level that has any: of the first in the same conversation, else of the first. Only parents of the same conversation and an earlier turn
     make a path. Messages with the same conversation and turn share one parent and path and
     are ordered by role and text. Null texts are empty; messages with a null
     conversation or turn have no parent and are nobody's.
 
-    For each hash the earliest message is chosen by an aggregate before the
-    join, so that a passage that many messages hold joins to one row. Paths grow
-    by doubling, and positions are counted in spans of turns with offsets, so
-    that a conversation of any size is shared by many tasks.
+    For each hash the two least conversations are chosen before the join, and the
+    latest earlier turn by a running maximum, so that a passage that many messages hold
+    joins to one row. Paths grow by doubling; running maxima and positions are
+    taken in spans of turns with offsets, so that a conversation of any size is
+    shared by many tasks.
     """
     store = Scratch(df.sparkSession)
     kinds = {c: df.schema[c].dataType.simpleString() for c in (conv_id, turn)}
     read = df.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).alias("text"), F.xxhash64(F.col(role), F.col(text)).alias("tag"))
-    schema = f"conv_id {kinds[conv_id]}, turn {kinds[turn]}, role string, tag long, body string, n_quotes int, max_level int, units array<long>, quoted array<struct<level: int, rank: int, h: long>>"
+    schema = f"conv_id {kinds[conv_id]}, turn {kinds[turn]}, role string, tag long, body string, n_quotes int, max_level int, units array<long>, quoted array<struct<level: int, rank: int, kind: int, h: long, n: int>>"
     said = store.keep(read.mapInArrow(_parsed, schema), "said")
     named = said.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    asked = store.keep(named.where("size(quoted) > 0").select("conv_id", "turn", "tag", F.explode("quoted").alias("q")).select("conv_id", "turn", "tag", "q.level", "q.rank", "q.h").distinct(), "asked")
+    asked = store.keep(named.where("size(quoted) > 0").select("conv_id", "turn", "tag", F.explode("quoted").alias("q")).select("conv_id", "turn", "tag", "q.level", "q.rank", "q.kind", "q.h", "q.n").distinct(), "asked")
     own = named.select("conv_id", "turn", F.explode("units").alias("h")).join(asked.select("h").distinct(), "h", "left_semi")
     here = own.groupBy("h", "conv_id").agg(F.min("turn").alias("at"))
-    first = store.keep(here.groupBy("h").agg(F.min(F.struct("conv_id", "at")).alias("any")), "first")
-    near = asked.join(here, ["h", "conv_id"], "left").join(first, "h")
-    inside = F.col("at") < F.col("turn")
-    away = F.col("any.conv_id") != F.col("conv_id")
-    link = F.when(inside, F.struct(F.lit(0).alias("o"), F.col("conv_id").alias("c"), F.col("at").alias("t"))).when(away, F.struct(F.lit(1).alias("o"), F.col("any.conv_id").alias("c"), F.col("any.at").alias("t")))
-    linked = near.select("conv_id", "turn", "tag", "level", "rank", link.alias("p")).where("p IS NOT NULL")
-    origin = store.keep(linked.groupBy("conv_id", "turn", "tag", "level", "rank").agg(F.min("p").alias("p")), "origin")
+    least = here.withColumn("nth", F.row_number().over(Window.partitionBy("h").orderBy("conv_id"))).where("nth <= 2")
+    first = store.keep(least.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("conv_id", "at"))).alias("any")), "first")
+
+    # the latest earlier turn of the own conversation that holds a hash: within the span of turns, else of the spans before
+    sought = asked.select("h", "conv_id", "turn").distinct()
+    holds = own.join(sought.select("h", "conv_id").distinct(), ["h", "conv_id"], "left_semi").select("h", "conv_id", "turn", F.col("turn").alias("at"))
+    events = sought.withColumn("at", F.lit(None).cast(kinds[turn])).union(holds).withColumn("part", F.floor(F.col("turn") / SPAN))
+    earlier_turns = Window.partitionBy("h", "conv_id", "part").orderBy("turn", F.col("at").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier_parts = Window.partitionBy("h", "conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    within = events.withColumn("within", F.max("at").over(earlier_turns)).where("at IS NULL")
+    before = events.groupBy("h", "conv_id", "part").agg(F.max("at").alias("at")).select("h", "conv_id", "part", F.max("at").over(earlier_parts).alias("before"))
+    latest = within.join(before, ["h", "conv_id", "part"]).select("h", "conv_id", "turn", F.coalesce("within", "before").alias("near")).where("near IS NOT NULL")
+
+    near = asked.join(latest, ["h", "conv_id", "turn"], "left").join(first, "h")
+    link = F.when(F.col("near").isNotNull(), F.struct(F.lit(0).alias("o"), F.col("conv_id").alias("c"), F.col("near").alias("t"))).when(F.col("other").isNotNull(), F.struct(F.lit(1).alias("o"), F.col("other.conv_id").alias("c"), F.col("other.at").alias("t")))
+    passage = ["conv_id", "turn", "tag", "level", "rank"]
+    linked = near.withColumn("other", F.get(F.filter("any", lambda x: x["conv_id"] != F.col("conv_id")), F.lit(0))).select(*passage, "kind", "n", link.alias("p")).where("p IS NOT NULL")
+    covered = linked.groupBy(*passage, "kind", "p").agg(F.sum("n").alias("n"))
+    late = F.when(F.col("p.o") == 0, -F.col("p.t"))
+    best = F.struct(F.col("p.o").alias("o"), (-F.col("n")).alias("n"), "kind", late.alias("late"), F.col("p.c").alias("c"), F.col("p.t").alias("t"))
+    origin = store.keep(covered.groupBy(*passage).agg(F.min(best).alias("p")), "origin")
     nearest = F.min(F.struct("level", "p.o", "rank", "p.c", "p.t")).alias("p")
     parents = store.keep(origin.groupBy("conv_id", "turn").agg(nearest).select("conv_id", "turn", F.col("p.c").alias("parent_conv"), F.col("p.t").alias("parent_turn")), "parents")
     origins = origin.groupBy("conv_id", "turn", "tag").agg(F.array_sort(F.collect_list(F.struct("rank", "level", F.col("p.c").alias("conv"), F.col("p.t").alias("turn")))).alias("origins"))

@@ -25,3 +25,27 @@ def test_passages_of_every_level_are_linked(spark):
     assert (got[2, 0].parent_conv, got[2, 0].parent_turn, got[2, 0].path) == (1, 1, [0])
     assert [tuple(x) for x in got[1, 4].origins] == [(0, 2, 1, 0), (1, 1, 1, 1)]
     assert [tuple(x) for x in got[1, 3].origins] == [(0, 2, 1, 0)] and got[1, 0].origins == []
+
+
+def test_the_whole_passage_goes_before_its_lines(spark):
+    said = [
+        (1, 0, "u", "Hi all\nX"),
+        (1, 1, "u", "Hi all\nY"),
+        (1, 2, "a", "> Hi all\n> Y\nTo 1"),
+        (1, 3, "a", "> Hi all\n> Y, edited\nTo the latest that has the line"),
+        (1, 4, "u", "A long line of its own\nThanks\nShort"),
+        (1, 5, "u", "Thanks\nSomething else"),
+        (1, 6, "a", "> A long line of its own\n> Thanks\n> edited\nMost of it is in 4"),
+        (1, 5000, "a", "> Hi all\n> Y\nFar below"),
+        (2, 0, "u", "> Nobody's line\nq"),
+        (2, 1, "u", "Said twice\nlater"),
+        (3, 0, "u", "Said twice\nelsewhere"),
+        (2, 0, "v", "> Said twice\nIts own conversation says so only later"),
+    ]
+    rows = link_quotes(spark.createDataFrame(said, SAID)).collect()
+    assert len(rows) == len(said)
+    got = {(r.conv_id, r.turn, r.role): r for r in rows}
+    assert [got[1, t, "a"].parent_turn for t in (2, 3, 6, 5000)] == [1, 1, 4, 1]
+    assert got[1, 5000, "a"].path == [1, 5000] and got[1, 5, "u"].parent_turn is None
+    assert (got[2, 0, "v"].parent_conv, got[2, 0, "v"].parent_turn) == (3, 0)
+    assert got[2, 0, "u"].origins == [] and [tuple(x) for x in got[2, 0, "v"].origins] == [(0, 1, 3, 0)]
