@@ -133,11 +133,11 @@ def _distance(rows: DataFrame, p: int) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(p)), F.lit(0.0)))
 
 
-def robust_outliers(rows: DataFrame, store: Scratch, names: list[str], share: float = 0.75, steps: int = 4, alpha: float = 1e-6) -> DataFrame:
-    """Adds d2 and outlier to `rows` (g, x_0 .. x_{p-1}) by a minimum covariance determinant per g.
+def robust_outliers(judged: DataFrame, rows: DataFrame, store: Scratch, names: list[str], share: float = 0.75, steps: int = 4, alpha: float = 1e-6) -> DataFrame:
+    """Adds d2 and outlier to `judged` (g, x_0 .. x_{p-1}) by a minimum covariance determinant per g of `rows`.
 
-    Starts from each group's medians and median deviations and takes
-    concentration steps: distances, the share of rows with the least of them,
+    `rows` (the same columns) must have each g of `judged`. Starts from each
+    group's medians and median deviations and takes concentration steps: distances, the share of rows with the least of them,
     their mean and covariance. A step is one aggregate by group with partial
     sums; the cut comes from a histogram of the logarithm of the distances, so
     that no group's rows are ever brought together. The estimates have one row
@@ -171,7 +171,7 @@ def robust_outliers(rows: DataFrame, store: Scratch, names: list[str], share: fl
         store.drop(*old, cut)
         old, now = [now], after
     store.drop(*old)
-    return _distance(rows.join(small(now, n_groups), "g"), p).withColumn("outlier", F.col("d2") > chi2_quantile(1 - alpha, p))
+    return _distance(judged.join(small(now, n_groups), "g"), p).withColumn("outlier", F.col("d2") > chi2_quantile(1 - alpha, p))
 
 
 def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_words: int = 10, most_repeated: int = 20, least_group: int = 200, share: float = 0.75, alpha: float = 1e-6) -> DataFrame:
@@ -182,9 +182,10 @@ def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     per cent of them in repeated five-word windows), kept and distance (squared,
     null where base_failed). Estimates are made for each pair of lang and source
     over the rows that pass the base rule; a pair with fewer than `least_group`
-    such rows uses its language's estimate, a language with fewer the one of all
-    rows. A null lang or source is a value of its own. Each repeated row gets
-    its own row; an empty table gives none. Other columns are not read.
+    such rows uses its language's estimate, made over all such rows of the language,
+    and a language with fewer the one of all such rows of the table. A null lang or
+    source is a value of its own. Each repeated row gets its own row; an empty table
+    gives none. Other columns are not read.
     """
     store = Scratch(df.sparkSession)
     read = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("\0")).alias("lang"), F.coalesce(F.col(source), F.lit("\0")).alias("source"), F.col(text).alias("text"))
@@ -194,14 +195,21 @@ def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     stats = store.keep(stats.withColumns({f"x_{i}": VECTOR[n][0]().cast("double") for i, n in enumerate(names)}), "stats")
     good = stats.where("NOT base_failed")
     by_pair = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    groups = store.keep(by_pair.withColumn("n_lang", F.sum("n").over(_by("lang"))), "groups")
-    n_groups = groups.count()
+    groups = store.keep(by_pair.withColumns({"n_lang": F.sum("n").over(_by("lang")), "least": F.min("n").over(_by("lang"))}), "groups")
+    n_groups, rarest = groups.agg(F.count(F.lit(1)), F.min("n_lang")).first()
     g = F.when(F.col("n") >= least_group, F.to_json(F.array("lang", "source"))).when(F.col("n_lang") >= least_group, F.to_json(F.array("lang"))).otherwise("[]")
-    # a row of a pair that is too small adds to its language's estimate as a whole language
-    chosen = groups.select("lang", "source", g.alias("g"))
-    judged = good.join(small(chosen, n_groups), ["lang", "source"])
-    fit = judged.select("g", *[f"x_{i}" for i in range(len(names))], "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    found = robust_outliers(fit, store, names, share, alpha=alpha)
+    # a row adds to every estimate that covers it and that some row is judged by, its own pair's only or also the wider ones
+    covers = [
+        F.when(F.col("n") >= least_group, F.to_json(F.array("lang", "source"))),
+        F.when((F.col("n_lang") >= least_group) & (F.col("least") < least_group), F.to_json(F.array("lang"))),
+        F.when(F.lit(rarest is not None and rarest < least_group), F.lit("[]")),
+    ]
+    chosen = groups.select("lang", "source", g.alias("g"), F.array_compact(F.array(*covers)).alias("gs"))
+    met = good.join(small(chosen, n_groups), ["lang", "source"])
+    xs = [f"x_{i}" for i in range(len(names))]
+    fit = met.select(F.explode("gs").alias("g"), *xs)
+    judged = met.select("g", *xs, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    found = robust_outliers(judged, fit, store, names, share, alpha=alpha)
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failed = stats.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return found.select(*out, (~F.col("outlier")).alias("kept"), F.col("d2").alias("distance")).union(failed)

@@ -40,3 +40,17 @@ def test_statistics_and_outliers(docs):
 def test_chi_square():
     assert abs(chi2_cdf(3.841459, 1) - 0.95) < 1e-6
     assert abs(chi2_quantile(0.99, 6) - 16.811894) < 1e-4
+
+
+def test_small_pairs_are_judged_by_their_whole_language(docs):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aeioubcdfgl") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    clean = lambda: ". ".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(6))
+    junk = lambda: " ".join(rng.choice(words) + "%%%&" for _ in range(60))
+    rows = [(i, clean(), "en", "large") for i in range(600)]
+    rows += [(1000, junk(), "en", "one row"), *((1001 + i, junk(), "en", "few rows") for i in range(5)), (1010, junk(), "xx", "rare")]
+    rows += [(2000, clean(), "en", "one clean row"), (2001, clean(), "yy", "rare")]
+    got = {r.doc_id: r for r in quality(docs(rows)).collect()}
+    assert len(got) == len(rows) and not any(r.base_failed for r in got.values())
+    assert {i: r.kept for i, r in got.items() if i >= 1000} == {i: i >= 2000 for i in got if i >= 1000}
+    assert all(got[i].kept for i in range(600))
