@@ -111,7 +111,7 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     words, first = word_hashes(texts)
     factor = U64(0xD6E8FEB86659FD93)
     run = words.copy()
-    for k in range(1, width):
+    for k in range(1, min(width, len(words))):
         run[: len(words) - k] = run[: len(words) - k] * factor + words[k:]
     run = mix(run)
     out = []

@@ -3,11 +3,13 @@ import re
 from itertools import combinations
 
 
+import pyarrow as pa
 import pytest
 
 from edges import EDGES
 
 from millrace.llm import ngram_join
+from millrace.llm._text import shingle_sets
 from millrace.llm.ngram_join import Scheme, bits_apart, jaccard_components, parities
 
 
@@ -101,3 +103,14 @@ def test_similar_sets_share_a_signature(percent):
         if np.array_equal(a, b) or 100 * len(both) < percent * (len(a) + len(b) - len(both)):
             continue
         assert np.intersect1d(scheme.signatures(a), scheme.signatures(b)).size
+
+
+def test_slices_with_fewer_words_than_a_shingle(docs):
+    for width in range(1, 7):
+        for n in range(5):
+            text = " ".join(f"w{i}" for i in range(n))
+            alone, beside = (shingle_sets(pa.array(x), width) for x in ([text], [text, "some more words that stand in another row"]))
+            assert len(alone) == 1 and alone[0].tolist() == beside[0].tolist()
+            assert len(alone[0]) == (max(1, n - width + 1) if n else 0)
+    got = jaccard_components(docs([(1, "one two", "en", "s"), (2, None, "en", "s")]).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 1, 1), (2, 0, 2)]
