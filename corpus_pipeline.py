@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: toxicity, quality, near duplicates, packing.
 
 Each stage reads what its predecessor kept and, but for the last, returns the
-columns of `documents`. run() writes each stage's result as Parquet in the shared
+columns of `documents`. Every row has a verdict of its own: a doc_id may be null,
+or stand on several rows. run() writes each stage's result as Parquet in the shared
 folder and reads it again, so that a lost executor costs no more than a stage.
 """
 
@@ -14,27 +15,28 @@ from millrace.llm import ngram_join, packing, quality, toxicity
 from millrace.llm._store import Scratch
 
 
-def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is in `verdict` (a doc_id names one text)."""
-    return docs.join(verdict.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.5 by a classifier trained on the labelled ones among `docs`."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _kept(docs, toxicity.score(docs, model).where("predicted = 0"))
+    return toxicity.score(docs, model, carry=True).where("predicted = 0").select("row.*")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and are no outliers of their language and source."""
-    return _kept(docs, quality.quality(docs).where("kept"))
+    return quality.quality(docs, carry=True).where("kept").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 0.8 or more of their five-word shingles, the document with the least doc_id."""
-    groups = ngram_join.jaccard_components(docs, width=5, percent=80)
-    one = _kept(docs, groups.where("doc_id = component_id"))
-    return one.dropDuplicates(["doc_id"])
+    """Of each group linked by 0.8 or more of their five-word shingles, one row of the least doc_id (a null one last).
+
+    Rows are told apart by a key of the stage, not by doc_id, which may be null or repeated.
+    A text without words is linked with nothing and stays.
+    """
+    keyed = Scratch(spark).keep(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("key")), "keyed")
+    groups = ngram_join.jaccard_components(keyed.select("key", F.col("row.text").alias("text")), doc_id="key", width=5, percent=80)
+    ids = keyed.select("key", F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "key").alias("at"))
+    least = groups.withColumnRenamed("doc_id", "key").join(ids, "key").groupBy("component_id").agg(F.min("at").alias("at"))
+    return keyed.join(least.select("at.key"), "key", "left_semi").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,7 +174,7 @@ def robust_outliers(judged: DataFrame, rows: DataFrame, store: Scratch, names: l
     return _distance(judged.join(small(now, n_groups), "g"), p).withColumn("outlier", F.col("d2") > chi2_quantile(1 - alpha, p))
 
 
-def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_words: int = 10, most_repeated: int = 20, least_group: int = 200, share: float = 0.75, alpha: float = 1e-6) -> DataFrame:
+def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_words: int = 10, most_repeated: int = 20, least_group: int = 200, share: float = 0.75, alpha: float = 1e-6, carry: bool = False) -> DataFrame:
     """Statistics, the base rule and a robust outlier verdict for every row of `df`.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
@@ -185,10 +185,11 @@ def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     such rows uses its language's estimate, made over all such rows of the language,
     and a language with fewer the one of all such rows of the table. A null lang or
     source is a value of its own. Each repeated row gets its own row; an empty table
-    gives none. Other columns are not read.
+    gives none. Other columns are not read, but with `carry` each row of `df` comes
+    along whole, as the column row.
     """
     store = Scratch(df.sparkSession)
-    read = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("\0")).alias("lang"), F.coalesce(F.col(source), F.lit("\0")).alias("source"), F.col(text).alias("text"))
+    read = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang), F.lit("\0")).alias("lang"), F.coalesce(F.col(source), F.lit("\0")).alias("source"), F.col(text).alias("text"), *([F.struct(*df.columns).alias("row")] if carry else []))
     stats = word_statistics(read).drop("text")
     stats = stats.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
     names = list(VECTOR)
@@ -207,10 +208,11 @@ def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     chosen = groups.select("lang", "source", g.alias("g"), F.array_compact(F.array(*covers)).alias("gs"))
     met = good.join(small(chosen, n_groups), ["lang", "source"])
     xs = [f"x_{i}" for i in range(len(names))]
+    rows = ["row"] if carry else []
     fit = met.select(F.explode("gs").alias("g"), *xs)
-    judged = met.select("g", *xs, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    judged = met.select("g", *xs, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *rows)
     found = robust_outliers(judged, fit, store, names, share, alpha=alpha)
-    out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *rows]
     failed = stats.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return found.select(*out, (~F.col("outlier")).alias("kept"), F.col("d2").alias("distance")).union(failed)
 

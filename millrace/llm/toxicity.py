@@ -152,12 +152,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return fit([r.text or "" for r in rows], [int(r.y > 0) for r in rows], [1 / rate[int(r.y > 0)] for r in rows])
 
 
-def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of `df`.
 
     The model (some MB whatever the corpus) is broadcast; a row's score depends on
     its text only. Null and empty texts have the score of a text without n-grams.
-    Each repeated row gets its own row; a null doc_id is not held out.
+    Each repeated row gets its own row; a null doc_id is not held out. With
+    `carry` each row of `df` comes along whole, as the column row.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[doc_id].dataType.simpleString()
@@ -166,7 +167,9 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
         m = shared.value
         for batch in batches:
             scores = [m.score(grams(t.as_py())) for t in batch.column("text")]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+            rows = [batch.column("row")] if carry else []
+            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *rows], names=["doc_id", "held_out", "score", "predicted"] + ["row"] * carry)
 
-    read = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    return read.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    read = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"), F.col(text).alias("text"), *([F.struct(*df.columns).alias("row")] if carry else []))
+    whole = f", row {read.schema['row'].dataType.simpleString()}" if carry else ""
+    return read.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int{whole}")
