@@ -33,27 +33,34 @@ class Scratch:
 
     keep() writes a DataFrame as Parquet and reads it back; drop() removes such
     a table once nothing reads it any more, so that disk use follows the live
-    tables only. The tables behind a returned result stay in the shared folder.
+    tables only; keep_only() removes all but those behind a result, which stay
+    in the shared folder.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}", 0
-        self.at: dict[int, str] = {}
+        self.live: set[str] = set()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.at[id(out)] = path
+        self.live.add(path)
         out._millrace_path = path
         return out
 
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._millrace_path)
+    def _remove(self, paths: set[str]) -> None:
+        for at in paths & self.live:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.live -= paths
+
+    def drop(self, *tables: DataFrame) -> None:
+        self._remove({df._millrace_path for df in tables})
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        self._remove(self.live - {df._millrace_path for df in tables})
 
 
 def inline_rows(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:

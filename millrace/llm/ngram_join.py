@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import Scratch
@@ -20,7 +20,9 @@ from .components import connected_components
 LIGHT_SHARE = 16
 #: Rows of one pivot that a task compares; a pivot with more partners is dealt to several tasks.
 PARTNERS = 2048
-#: Pivots of a signature's group that one round compares at most; further rounds take the rest.
+#: Open members up to which a group's pairs are tested each; members of larger ones are brought together by prefixes.
+GROUP = 64
+#: Pivots of a group that one round tests at most; further rounds take the rest.
 PIVOTS = 1024
 #: 64-bit words of the short sketch that travels with a signature.
 SHORT = 4
@@ -28,6 +30,8 @@ WORDS = [f"s{i}" for i in range(SHORT)]
 
 #: Bits of the filter that goes before a join of texts with ids, 2 MB in all however many ids there are.
 FILTER_BITS = 1 << 24
+#: Bits that mark frequent shingles, 2 MB in all; at most an eighth of them is set.
+FREQUENT_BITS = 1 << 24
 
 
 class Scheme:
@@ -118,21 +122,39 @@ def parities(features: np.ndarray) -> bytes:
     """For each of a power of two of hash buckets, whether it holds an odd number of features.
 
     A feature that only one of two sets has changes one bucket, so the sketches
-    differ in no more bits than the sets in features.
+    differ in no more bits than the sets in features. There are over 0.75 buckets a
+    feature, so that strangers of any size differ in more than a link allows.
     """
-    bits = 1 << max((64 * SHORT).bit_length() - 1, int(1.5 * len(features)).bit_length())
+    bits = 1 << max((64 * SHORT).bit_length() - 1, int(0.75 * len(features)).bit_length())
     odd = np.bincount((features & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def bits_apart(a: bytes, b: bytes) -> int:
-    """In how many bits two sketches differ, the longer one folded to the other's length."""
-    one, two = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(one) > len(two):
-        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
-    while len(two) > len(one):
-        two = two[: len(two) // 2] ^ two[len(two) // 2 :]
-    return int(np.bitwise_count(one ^ two).sum())
+class Sketches:
+    """Those of a column of `parities`, for tests of many pairs at once."""
+
+    def __init__(self, column: pa.Array):
+        column = column.cast(pa.large_binary())
+        _, ends, data = column.buffers()
+        ends = np.frombuffer(ends, np.int64, len(column) + 1, column.offset * 8)
+        self.words = np.frombuffer(data, U64, int(ends[-1] - ends[0]) // 8, int(ends[0])) if ends[-1] > ends[0] else np.zeros(0, U64)
+        self.at, self.size = (ends[:-1] - ends[0]) // 8, np.diff(ends) // 8
+
+    def _rows(self, rows: np.ndarray, size: int, folded: int) -> np.ndarray:
+        x = self.words[self.at[rows][:, None] + np.arange(size)]
+        return x if size == folded else np.bitwise_xor.reduce(x.reshape(len(rows), size // folded, folded), axis=1)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many bits the sketches of rows a[i] and b[i] differ, the longer one folded to the other's length."""
+        out = np.zeros(len(a), np.int64)
+        sizes = self.size[a] << 32 | self.size[b]
+        for both in np.unique(sizes):
+            at, p, q = np.flatnonzero(sizes == both), int(both) >> 32, int(both) & 0xFFFFFFFF
+            step = max(1, (1 << 18) // max(p, q))
+            for i in range(0, len(at), step):
+                some = at[i : i + step]
+                out[some] = np.bitwise_count(self._rows(a[some], p, min(p, q)) ^ self._rows(b[some], q, min(p, q))).sum(axis=1)
+        return out
 
 
 def short(parity: bytes) -> np.ndarray:
@@ -143,9 +165,11 @@ def short(parity: bytes) -> np.ndarray:
 def _near(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {name: batch.column(name).to_pylist() for name in ("n_u", "n_v", "p_u", "p_v")}
-            fit = [(100 + percent) * bits_apart(p, q) <= (100 - percent) * (n + m) for n, m, p, q in zip(*c.values())]
-            yield pa.record_batch([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(fit, pa.bool_()))
+            n = batch.num_rows
+            both = batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy()
+            sketches = Sketches(pa.concat_arrays([batch.column("p_u"), batch.column("p_v")]))
+            fit = (100 + percent) * sketches.apart(np.arange(n), np.arange(n, 2 * n)) <= (100 - percent) * both
+            yield pa.record_batch([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(fit))
 
     return run
 
@@ -153,14 +177,14 @@ def _near(percent: int):
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id")
+            texts, ids, hashes = batch.column("text"), batch.column("doc_id"), batch.column("h")
             for a, b in slices(texts):
                 sets = shingle_sets(texts.slice(a, b - a), width)
                 sketches = [parities(s) for s in sets]
                 words = np.array([short(p) for p in sketches]).reshape(-1, SHORT)
                 yield pa.record_batch(
-                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array(sketches, pa.binary()), *(pa.array(w) for w in np.ascontiguousarray(words.T))],
-                    names=["doc_id", "n_shingles", "key", "parity", *WORDS],
+                    [ids.slice(a, b - a), hashes.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array(sketches, pa.binary()), *(pa.array(w) for w in np.ascontiguousarray(words.T))],
+                    names=["doc_id", "h", "n_shingles", "key", "parity", *WORDS],
                 )
 
     return run
@@ -208,9 +232,71 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_sig, last_key, alone = sig[-1], key[-1], not same[-2]
 
 
+def _counted(width: int):
+    """How many sets hold a shingle, of those that a task reads, in parts of bounded size."""
+
+    def given(parts: list[np.ndarray]) -> pa.RecordBatch:
+        f, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.record_batch([pa.array(f.view(np.int64)), pa.array(n.astype(np.int64))], names=["f", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, seen = [], 0, set()
+        for batch in batches:
+            texts = batch.column("text")
+            for a, b in slices(texts):
+                for s in shingle_sets(texts.slice(a, b - a), width):
+                    if len(s) and (key := set_key(s)) not in seen:
+                        seen.add(key)
+                        parts.append(s)
+                        size += len(s)
+                if size > 1 << 21:
+                    yield given(parts)
+                    parts, size = [], 0
+        if parts:
+            yield given(parts)
+
+    return run
+
+
+def marked(features: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """1 for each feature whose first bits number a set bit."""
+    at = features >> U64(65 - (8 * len(bits)).bit_length())
+    return bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1
+
+
+def prefix(features: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """The first features of a set, rare ones before frequent ones and then by hash: so many that a similar set has one of its own first features among them.
+
+    Sets with Jaccard >= p share at least p of the larger one. The first of the shared
+    features has the others behind it in either set, so it lies among the first
+    n - ceil(p n) + 1 of n.
+    """
+    mark = marked(features, frequent) == 1
+    n = len(features)
+    return np.concatenate([features[~mark], features[mark]])[: n + percent * -n // 100 + 1]
+
+
+def _prefixes(width: int, percent: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, frequent = set(), np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            texts = batch.column("text")
+            for a, b in slices(texts):
+                sigs, keys = [], []
+                for s in shingle_sets(texts.slice(a, b - a), width):
+                    if len(s) and (key := set_key(s)) not in seen:
+                        seen.add(key)
+                        sigs.append(mix(prefix(s, frequent, percent) ^ U64(0x9FB21C651E98DF25)))
+                        keys.append(np.full(len(sigs[-1]), key, np.int64))
+                if sigs:
+                    yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "key"])
+
+    return run
+
+
 def _across(percent: int):
-    """Of rows (sig, salt, member, rank, u, c, n, s0, ...) sorted by the first three: pairs of a pivot (member 0) and a later
-    member of other component, where sizes and short sketches allow a link. Only the pivots of one signature are kept between batches.
+    """Of rows (sig, salt, member, rank, u, c, n, parity) sorted by the first three: pairs of a pivot (member 0) and a later
+    member of other component, where sizes and sketches allow a link. Only the pivots of one signature are kept between batches.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +304,9 @@ def _across(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
-            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            sig, salt, member, rank, u, c, n, *words = now
+            now = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            sig, salt, member, rank, u, c, n = (now.column(i).to_numpy() for i in range(7))
+            sketches = Sketches(now.column(7))
             begins = np.ones(len(sig), bool)
             begins[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
             group, starts = np.cumsum(begins) - 1, np.flatnonzero(begins)
@@ -230,18 +316,13 @@ def _across(percent: int):
             for j in range(int(pivots.max())):
                 at = at[pivots[group[at]] > j]
                 to = starts[group[at]] + j
-                fit = (rank[at] > rank[to]) & (c[at] != c[to])
+                fit = (rank[at] > rank[to]) & (c[at] != c[to]) & (100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to]))
                 v, w = at[fit], to[fit]
-                least, most = np.minimum(n[v], n[w]), np.maximum(n[v], n[w])
-                fit = 100 * least >= percent * most
-                v, w, both = v[fit], w[fit], (least + most)[fit]
-                apart = sum(np.bitwise_count((s[v] ^ s[w]).view(U64)).astype(np.int64) for s in words)
-                fit = (100 + percent) * apart <= (100 - percent) * both
+                fit = (100 + percent) * sketches.apart(v, w) <= (100 - percent) * (n[v] + n[w])
                 found.append(np.stack([u[w[fit]], u[v[fit]]]))
             if found and (pairs := np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)).size:
                 yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
-            kept = (group == group[-1]) & (member == 0)
-            held = [x[kept] for x in now]
+            held = now.filter(pa.array((group == group[-1]) & (member == 0)))
 
     return run
 
@@ -267,19 +348,38 @@ def _compare(width: int, percent: int):
     return run
 
 
+def _pages(at: Column, ids: DataFrame) -> DataFrame:
+    """The places `at` of `ids` as bits, in pages of 32768 of them."""
+    return ids.select(at.alias("at")).groupBy(F.expr("at div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+
+
 def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id may be one of `ids`: those whose hash marks a set bit.
+    """Rows of `docs` whose doc_id and h may be one of `ids`: those whose hash marks a set bit.
 
     The bits are at most FILTER_BITS / 32768 rows of 4 KB, so they can be broadcast at any size; a join
     with the ids must follow, and shuffles little else than the rows it keeps.
     """
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = ids.select(at.alias("at")).groupBy(F.expr("at div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
-    paged = docs.withColumn("at", at).withColumn("page", F.expr("at div 32768")).join(F.broadcast(bits), "page")
+    at = F.pmod(F.xxhash64("doc_id", "h"), F.lit(FILTER_BITS))
+    paged = docs.withColumn("at", at).withColumn("page", F.expr("at div 32768")).join(F.broadcast(_pages(at, ids)), "page")
     byte = "cast(conv(hex(substring(bits, cast(at % 32768 div 8 + 1 as int), 1)), 16, 10) as int)"
     return paged.where(F.expr(f"shiftright({byte}, cast(at % 8 as int)) & 1 = 1")).select(*docs.columns)
 
 
+def _frequent(counts: DataFrame) -> bytes:
+    """Bits for the shingles (f, n) that more than GROUP sets hold, or more than the least power of two at which few enough bits are set."""
+    by_size = sorted((r.e, r.n) for r in counts.where(F.col("n") > GROUP).groupBy(F.floor(F.log2(F.col("n"))).alias("e")).agg(F.count(F.lit(1)).alias("n")).collect())
+    least, left = GROUP, sum(n for _, n in by_size)
+    for e, n in by_size:
+        if left <= FREQUENT_BITS // 8:
+            break
+        left, least = left - n, (2 << e) - 1
+    at = F.expr(f"shiftrightunsigned(f, {64 - (FREQUENT_BITS.bit_length() - 1)})")
+    out = bytearray(FREQUENT_BITS // 8)
+    for r in _pages(at, counts.where(F.col("n") > least)).toLocalIterator():
+        out[r.page * 4096 : (r.page + 1) * 4096] = r.bits
+    return bytes(out)
+
+
 def _settle(spark) -> None:
     """Lets Spark remove the shuffle files of jobs that are over."""
     gc.collect()
@@ -293,93 +393,126 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     by links. Words are ASCII-lower-cased; a text with fewer than `width` words
     has its whole sequence as its one shingle; a row without words (empty or
     null text) is linked with nothing. Rows with equal sets, repeated rows
-    included, are one class from the start and are compared as one. doc_id must
+    included, are one class from the start and are compared as one; rows of one
+    doc_id with different texts are judged each by its own text. doc_id must
     be an integer; a row whose doc_id is null keeps a null component_id and links
     nothing. An empty table gives no rows; other columns are not read.
 
     Signatures are grouped by a sort on (signature, class). In each group the class that
     shares most of its signatures comes first, and every other one is compared with it: by
     size and short sketch as the group is ranked, then by the full sketch, then by the texts. Links
-    found so far are closed, and groups whose later members are still of several components compare
-    further pivots in the same way, in rounds of growing width, until none is left; a large group
-    is dealt to several tasks, each with the round's pivots. So no link
+    found so far are closed. Of the groups whose later members are still of several components,
+    those of at most GROUP members have their pairs tested each by size and full sketch, where they are read. The
+    members of larger ones, mostly strangers that share a frequent passage, are grouped
+    anew by their prefixes (rare shingles first, of which any two similar sets share
+    one), so that strangers no longer meet; in rounds of growing width pivots are tested until
+    no group is left open, a large one dealt to several tasks. So no link
     between components is lost, a group of near copies costs one comparison a
-    member, and pairs are rows only if their sketches allow a link. Shingles and classes are
+    member, and pairs are rows only if their full sketches allow a link. Shingles and classes are
     told apart by 64-bit hashes.
     """
     spark = df.sparkSession
     store = Scratch(spark)
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
     words = ", ".join(f"{w} long" for w in WORDS)
-    sketch = store.keep(docs.mapInArrow(_sketch(width), f"doc_id long, n_shingles long, key long, parity binary, {words}"), "sketch")
+    sketch = store.keep(docs.mapInArrow(_sketch(width), f"doc_id long, h long, n_shingles long, key long, parity binary, {words}"), "sketch")
     known = sketch.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = store.keep(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("parity").alias("parity"), *(F.max(w).alias(w) for w in WORDS)), "classes")
+    classes = store.keep(
+        known.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.max("n_shingles").alias("n"), F.max("parity").alias("parity"), *(F.max(w).alias(w) for w in WORDS)).withColumnRenamed("key", "u"), "classes"
+    )
 
-    sigs = docs.where("doc_id IS NOT NULL").mapInArrow(_signatures(width, percent), "sig long, key long")
+    sigs = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_signatures(width, percent), "sig long, key long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = store.keep(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long"), "met")
+    met = store.keep(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long").withColumnRenamed("key", "u"), "met")
     _settle(spark)
     # a group's first is the class that shares most of its signatures: the text that others are copies of
-    sharing = met.groupBy("key").agg(F.count(F.lit(1)).alias("d")).join(classes, "key").select("key", (F.col("d") / F.col("n")).alias("share"), F.col("rep").alias("u"), "n", *WORDS)
+    sharing = store.keep(met.groupBy("u").agg(F.count(F.lit(1)).alias("d")).join(classes, "u").select("u", (F.col("d") / F.col("n")).alias("share"), "n", *WORDS), "sharing")
     order = Window.partitionBy("sig").orderBy(F.desc("share"), "u")
-    ranked = met.join(sharing, "key").select("sig", (F.row_number().over(order) - 1).cast("int").alias("rank"), "u", "n", *WORDS, F.first(F.struct("u", "n", *WORDS)).over(order).alias("p"))
+    ranked = met.join(sharing, "u").select("sig", (F.row_number().over(order) - 1).cast("int").alias("rank"), "u", "n", *WORDS, F.first(F.struct("u", "n", *WORDS)).over(order).alias("p"))
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("p")[w])) for w in WORDS), F.lit(0))
     fit = (F.col("u") != F.col("p.u")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("p.n")))
     shared = store.keep(ranked.select("sig", "rank", "u", F.when(fit, F.col("p.u")).alias("first")), "shared")
     store.drop(met)
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Those pairs of documents whose full sketches allow a link."""
-        one = classes.select(F.col("rep").alias("u"), F.col("n").alias("n_u"), F.col("parity").alias("p_u"))
-        two = classes.select(F.col("rep").alias("v"), F.col("n").alias("n_v"), F.col("parity").alias("p_v"))
+        """Those pairs of classes whose full sketches allow a link."""
+        one = classes.select("u", F.col("n").alias("n_u"), F.col("parity").alias("p_u"))
+        two = classes.select(F.col("u").alias("v"), F.col("n").alias("n_v"), F.col("parity").alias("p_v"))
         return pairs.join(one, "u").join(two, "v").mapInArrow(_near(percent), "u long, v long")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(u, text) of the classes `ids` (u)."""
+        at = ids.join(classes.select("u", "rep"), "u").select("u", "rep.doc_id", "rep.h")
+        return _among(docs, at).join(at, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("u", "text")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-        known_texts = store.keep(_among(docs, ids).join(ids, "doc_id").dropDuplicates(["doc_id"]), name + "-texts")
+        known_texts = store.keep(texts_of(pairs.select("u").union(pairs.select("v")).distinct()), name + "-texts")
         counts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("salts"))
         salted = pairs.join(counts, "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")))
-        member = salted.select("u", "salt", "v").join(known_texts.withColumnRenamed("doc_id", "v"), "v").select("u", "salt", "v", "text")
-        pivot = counts.join(known_texts.withColumnRenamed("doc_id", "u"), "u").select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("v"), "text")
+        member = salted.select("u", "salt", "v").join(known_texts.withColumnRenamed("u", "v"), "v").select("u", "salt", "v", "text")
+        pivot = counts.join(known_texts, "u").select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("v"), "text")
         dealt = member.union(pivot).repartition(parts, "u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
         out = store.keep(dealt.mapInArrow(_compare(width, percent), "u long, v long"), name)
         store.drop(known_texts)
         return out
 
+    def opened(rest: DataFrame, name: str) -> DataFrame:
+        """Rows of the groups with members of several components, with these and the group's size."""
+        label = rest.join(comp.withColumnRenamed("node", "u"), "u", "left").select("sig", "rank", "u", F.coalesce("component", "u").alias("c"))
+        open_ = label.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1").select("sig", "m")
+        return store.keep(label.join(open_, "sig"), name)
+
     firsts = shared.where("first IS NOT NULL").select(F.least("u", "first").alias("u"), F.greatest("u", "first").alias("v")).distinct()
     tested = store.keep(near(firsts), "pairs0")
     links = verified(tested, "links0")
     comp = store.keep(connected_components(links, store), "comp0")
     _settle(spark)
 
-    rest = shared.where("rank > 0").select("sig", "rank", "u")
-    low, step = 0, 4  # ranks up to `low` have met all others of their groups
+    # the first of a group has met all others of it
+    left = opened(shared.where("rank > 0").select("sig", "rank", "u"), "open")
+    store.drop(shared)
+    crowd = store.keep(left.where(F.col("m") > GROUP).select("u").distinct(), "crowd")
+    rest = left.where(F.col("m") <= GROUP).select("sig", "rank", "u")
+    if crowd.take(1):
+        at = crowd.join(classes, "u").select("rep.doc_id", "rep.h")
+        crowded = store.keep(_among(docs.where("doc_id IS NOT NULL"), at).select("text"), "crowded")
+        counts = store.keep(crowded.mapInArrow(_counted(width), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP), "counts")
+        frequent = spark.sparkContext.broadcast(_frequent(counts))
+        pairs = crowded.mapInArrow(_prefixes(width, percent, frequent), "sig long, key long").withColumnRenamed("key", "u").join(crowd, "u", "left_semi")
+        again = pairs.select("sig", F.col("u").alias("key")).repartition(parts, "sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long").withColumnRenamed("key", "u")
+        rerank = again.join(sharing, "u").select("sig", F.row_number().over(order).cast("int").alias("rank"), "u")
+        rest = rest.union(store.keep(rerank, "again"))
+        store.drop(crowded, counts)
+    store.drop(crowd)
+
+    low, step = 0, GROUP  # ranks up to `low` have met all others of their groups
     while True:
-        label = rest.join(comp.withColumnRenamed("node", "u"), "u", "left").select("sig", "rank", "u", F.coalesce("component", "u").alias("c"))
-        open_ = label.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.ceil(F.count(F.lit(1)) / PARTNERS).alias("salts")).where("c0 <> c1").select("sig", "salts")
-        left = store.keep(label.join(open_, "sig"), f"open{low}")
+        now = opened(rest, f"open{low}")
+        store.drop(left)
+        left = now
         if not left.take(1):
-            store.drop(left)
             break
-        wide = left.join(classes.select(F.col("rep").alias("u"), "n", *WORDS), "u")
-        columns = [F.col("rank").cast("long").alias("rank"), "u", "c", "n", *WORDS]
+        wide = left.join(classes.select("u", "n", "parity"), "u").withColumn("salts", F.ceil(F.col("m") / PARTNERS))
+        columns = [F.col("rank").cast("long").alias("rank"), "u", "c", "n", "parity"]
         member = wide.select("sig", F.pmod(F.xxhash64("u"), "salts").alias("salt"), F.lit(1).cast("long").alias("member"), *columns)
         pivot = wide.where(F.col("rank") <= low + step).select("sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).cast("long").alias("member"), *columns)
         dealt = member.union(pivot).repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "member")
-        apart = dealt.mapInArrow(_across(percent), "u long, v long").distinct()
+        allowed = dealt.mapInArrow(_across(percent), "u long, v long").distinct()
         low += step
-        pairs = store.keep(near(apart.join(tested, ["u", "v"], "left_anti")), f"pairs{low}")
+        pairs = store.keep(allowed.join(tested, ["u", "v"], "left_anti"), f"pairs{low}")
         if pairs.take(1):
             found = verified(pairs, f"links{low}")
             tested = store.keep(tested.union(pairs), f"tested{low}")
             if found.take(1):
                 links = store.keep(links.union(found), f"all{low}")
                 comp = store.keep(connected_components(links, store), f"comp{low}")
-        rest = store.keep(left.where(F.col("rank") > low).select("sig", "rank", "u"), f"rest{low}")
-        store.drop(left)
+        rest = left.where(F.col("rank") > low).select("sig", "rank", "u")
         _settle(spark)
         step = min(4 * step, PIVOTS)
-    store.drop(shared)
 
-    by_key = store.keep(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component")), "by-key")
-    return sketch.join(by_key, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    linked = comp.join(classes.select(F.col("u").alias("node"), "rep.doc_id"), "node")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    by_key = comp.join(least, "component").select(F.col("node").alias("u"), "least")
+    by_key = store.keep(classes.join(by_key, "u", "left").select(F.col("u").alias("key"), F.coalesce("least", "rep.doc_id").alias("least")), "by-key")
+    store.keep_only(sketch, by_key)
+    return sketch.join(by_key, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))

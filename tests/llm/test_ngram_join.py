@@ -10,7 +10,7 @@ from edges import EDGES
 
 from millrace.llm import ngram_join
 from millrace.llm._text import shingle_sets
-from millrace.llm.ngram_join import Scheme, bits_apart, jaccard_components, parities
+from millrace.llm.ngram_join import Scheme, Sketches, jaccard_components, parities
 
 
 def brute(rows, width, percent):
@@ -64,14 +64,59 @@ def test_no_rows_and_null_ids(docs, spark):
 
 
 def test_filter_keeps_every_id_and_little_else(docs, spark):
-    all_ = docs([(i, "t", "en", "s") for i in range(-500, 4500)]).select("doc_id", "text")
+    all_ = docs([(i, "t", "en", "s") for i in range(-500, 4500)]).selectExpr("doc_id", "text", "xxhash64(text) AS h")
     want = {*range(-500, 4500, 7)}
-    ids = spark.createDataFrame([(i,) for i in want], "doc_id long")
+    ids = all_.where("doc_id % 7 = 4 OR doc_id % 7 = -3").select("doc_id", "h")
+    assert {r.doc_id for r in ids.collect()} == want
     got = {r.doc_id for r in ngram_join._among(all_, ids).collect()}
     assert want <= got and len(got) < len(want) + 20
     assert ngram_join._among(all_, ids.limit(0)).collect() == []
 
 
+def crowd(rng, words, start, n, shared, own):
+    """Texts that share a long passage and are otherwise strangers, with a near copy of every tenth."""
+    passage = [rng.choice(words) for _ in range(shared)]
+    for i in range(n):
+        text = passage + [rng.choice(words) for _ in range(own)]
+        yield start + 2 * i, " ".join(text), "en", "s"
+        if i % 10 == 0:
+            text[rng.randrange(shared)] = "edited"
+            yield start + 2 * i + 1, " ".join(text), "en", "s"
+
+
+@pytest.mark.parametrize("most_bits", [1 << 24, 1 << 15])
+def test_large_groups_of_strangers(docs, monkeypatch, most_bits):
+    """Members of groups over GROUP meet by prefixes, whether frequent shingles are known to the bit or only the most frequent ones."""
+    monkeypatch.setattr(ngram_join, "GROUP", 3)
+    monkeypatch.setattr(ngram_join, "FREQUENT_BITS", most_bits)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    rows = [r for k, (shared, own) in enumerate(((60, 20), (50, 50), (90, 12))) for r in crowd(rng, words, 1000 * k + 1, 60, shared, own)]
+    for width, percent in ((4, 85), (5, 80)):
+        got = jaccard_components(docs(rows), width=width, percent=percent).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, width, percent)
+
+
+def test_one_id_on_different_texts(docs):
+    a, b = ("some words that stand in this text and nowhere else", "another text which has no word of the first one here")
+    rows = [(7, a, "en", "s"), (7, b, "en", "s"), (3, b, "en", "s"), (9, a, "en", "s"), (7, a, "en", "s")]
+    got = jaccard_components(docs(rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (7, 3), (7, 7), (7, 7), (9, 7)]
+
+
+def test_prefixes_of_similar_sets_meet():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 256, ngram_join.FREQUENT_BITS // 8, dtype=np.uint8)
+    for percent in (80, 85):
+        for n in [1, 2, 3, 5, 9, 20, 60, 200] * 10:
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            out = n * (100 - percent) // 100
+            b = np.sort(rng.choice(a, len(a) - out, replace=False))
+            assert np.intersect1d(ngram_join.prefix(a, bits, percent), ngram_join.prefix(b, bits, percent)).size
+
+
 def test_scheme_shares_a_signature_for_every_similar_pair():
     import numpy as np
 
@@ -84,7 +129,8 @@ def test_scheme_shares_a_signature_for_every_similar_pair():
             b = np.concatenate([a[drop:], rng.integers(0, 2**63, rng.integers(0, int(size * 0.08) + 1)).astype(np.uint64)])
             a, b = np.unique(a), np.unique(b)
             both = len(np.intersect1d(a, b))
-            assert bits_apart(parities(a), parities(b)) <= len(a) + len(b) - 2 * both
+            apart = Sketches(pa.array([b"", parities(a), parities(b)]).slice(1)).apart(np.array([0, 1]), np.array([1, 0]))
+            assert apart[0] == apart[1] <= len(a) + len(b) - 2 * both
             if 100 * both >= 85 * (len(a) + len(b) - both) and not np.array_equal(a, b):
                 assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b)))
 
