@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Pieces (twice so many, with the older ones) and moves that a worker keeps; beyond that it makes them anew, which costs time only.
 KEPT_PIECES, KEPT_STATES = 200_000, 400_000
+#: Tokens that the query's decoder feeds to the machine at once.
+DECODED = 4096
 
 
 class Ranks:
@@ -199,8 +201,28 @@ class Utf8Machine:
         self.due, self.low, self.high, self.held = 0, 0x80, 0xBF, b""
 
     def feed(self, data: bytes) -> str:
-        if not self.due and data.isascii():
-            return data.decode("ascii")
+        """Text of the bytes, as far as it is complete."""
+        begun = ""
+        if self.due:
+            head, data = data[: self.due], data[self.due :]
+            begun = self._step(head)
+        return begun + (self._step(data) if self.due else self._run(data))
+
+    def _run(self, data: bytes) -> str:
+        """From the state without due bytes: a well-formed stretch is taken at once, by the same rules."""
+        cut = len(data)
+        for back in range(1, min(3, cut) + 1):  # the last bytes may begin a code point
+            b = data[cut - back]
+            if b >= 0xC0:
+                cut -= back if back < (2 if b < 0xE0 else 3 if b < 0xF0 else 4) else 0
+            if b >= 0xC0 or b < 0x80:
+                break
+        try:
+            return data[:cut].decode("utf-8") + self._step(data[cut:])
+        except UnicodeDecodeError:
+            return self._step(data)
+
+    def _step(self, data: bytes) -> str:
         out, i = [], 0
         while i < len(data):
             b = data[i]
@@ -274,13 +296,20 @@ class Codec:
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.ranks.bytes.__getitem__, ids))
 
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """The text of each token as far as its code points are complete; at the end what is left."""
+    def decode_stream(self, ids: list[int], block: int = 1) -> Iterator[str]:
+        """The text of each `block` of tokens as far as its code points are complete; at the end what is left."""
         machine = Utf8Machine()
-        for i in ids:
-            yield machine.feed(self.ranks.bytes[i])
+        for i in range(0, len(ids), block):
+            yield machine.feed(self.decode_bytes(ids[i : i + block]))
         yield machine.end()
 
+    def decoded_sha256(self, ids: list[int]) -> str:
+        """Of the decoded text's UTF-8, by the streaming decoder."""
+        sha = hashlib.sha256()
+        for text in self.decode_stream(ids, DECODED):
+            sha.update(text.encode("utf-8"))
+        return sha.hexdigest()
+
 
 @lru_cache(maxsize=2)
 def _codec(path: str, pattern: str) -> Codec:
@@ -312,7 +341,7 @@ def encode_table(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
                 ids = list(chain.from_iterable([i for i, _ in parts]))
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join([d for _, d in parts]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(codec.decode_bytes(ids)).hexdigest())
+                text_sha.append(codec.decoded_sha256(ids))
                 if with_ids:
                     every.append(ids)
             cols = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]

@@ -43,6 +43,19 @@ def test_utf8_machine_equals_replacement():
         assert m.feed(raw[:cut]) + m.feed(raw[cut:]) + m.end() == raw.decode("utf-8", "replace")
 
 
+def test_the_digest_comes_from_the_streaming_decoder(codec, monkeypatch):
+    from millrace.llm import byte_bpe
+
+    fed, feed = [], Utf8Machine.feed
+    monkeypatch.setattr(Utf8Machine, "feed", lambda self, data: fed.append(data) or feed(self, data))
+    for block in (1, 3, 4096):
+        monkeypatch.setattr(byte_bpe, "DECODED", block)
+        for t in [*texts(9, 200), "", "漢字😀" * 300]:
+            fed.clear()
+            assert codec.decoded_sha256(codec.encode(t)) == hashlib.sha256(t.encode()).hexdigest()
+            assert b"".join(fed) == t.encode()
+
+
 def test_byte_bpe_table(docs, codec):
     rows = encode_table(docs(EDGES, extra=True), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN).collect()
     text = {r[0]: r[1] for r in EDGES}
