@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITIES = (1024, 2048, 4096, 8192, 16384)
+#: Repeated rows that go to one lot together.
+COPIES = 1024
 
 
 def pack_lot(lengths: list[int], capacities: tuple[int, ...], attention: float = 0.25) -> tuple[list[int], list[int], list[int]]:
@@ -63,11 +65,12 @@ def pack(df: DataFrame, doc_id: str = "doc_id", length: str = "length", capaciti
     Returns doc_id, piece, length, bin_id, start and capacity. A row longer than
     the largest capacity is cut into pieces of that capacity and a last one; a
     row of null or no length has one piece of length 0 without a bin. Bins never
-    overflow or overlap and hold each token once. Rows are dealt by a hash to
+    overflow or overlap and hold each token once. Pieces are dealt by a hash to
     lots of about `lot_tokens` tokens and `lot_rows` rows at most; a lot is
     packed by one task, in memory of that bound, and always in the same way, and
-    only its last bins can be ill filled. Repeated rows are packed each on its
-    own. An empty table gives no rows; other columns are not read.
+    only its last bins can be ill filled. Repeated rows (null ids included) are counted before they are
+    dealt, COPIES to a portion, so that however many there are they go to many
+    lots; each is packed on its own. An empty table gives no rows; other columns are not read.
     """
     capacities = tuple(sorted(capacities))
     top = capacities[-1]
@@ -78,10 +81,15 @@ def pack(df: DataFrame, doc_id: str = "doc_id", length: str = "length", capaciti
     pieces = pieces.select("doc_id", "piece", F.least(F.lit(top), F.col("n") - F.col("piece").cast("long") * top).alias("length"))
     lots = max(1, -(-(total or 0) // lot_tokens), -(-(n or 0) // lot_rows))
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), lots)
-    dealt = pieces.withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(lots)).cast("long"))
+    counted = pieces.groupBy("doc_id", "piece", "length").agg(F.count(F.lit(1)).alias("n"))
+    portions = counted.withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
+    copies = F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("portion") * COPIES).cast("int").alias("copies")
+    lot = F.pmod(F.xxhash64("doc_id", "piece", "length", "portion"), F.lit(lots)).cast("long").alias("lot")
+    dealt = portions.select("doc_id", "piece", "length", copies, lot)
     kind = df.schema[doc_id].dataType.simpleString()
 
     def finish(lot: int, rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), rows.column("copies").to_numpy())))
         lengths = rows.column("length").to_pylist()
         some = [i for i, x in enumerate(lengths) if x > 0]
         bins, starts, sizes = pack_lot([lengths[i] for i in some], capacities)
@@ -107,5 +115,5 @@ def pack(df: DataFrame, doc_id: str = "doc_id", length: str = "length", capaciti
         if held:
             yield finish(int(now), pa.Table.from_batches(held))
 
-    dealt = dealt.repartition(parts, "lot").sortWithinPartitions("lot", F.desc("length"), "doc_id", "piece")
+    dealt = dealt.repartition(parts, "lot").sortWithinPartitions("lot", F.desc("length"), "doc_id", "piece", F.desc("copies"))
     return dealt.mapInArrow(run, f"doc_id {kind}, piece int, length long, bin_id long, start long, capacity long")

@@ -34,17 +34,30 @@ def plan(rows: int, least: float, recall: float, load: float = 256.0, width: flo
     return k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row by a power of two, so that its largest component lies in [0.5, 1); this rounds nothing but what vanishes beside it."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 class Hasher:
-    """tables x projections random directions and offsets, the same wherever they are made."""
+    """tables x projections random directions and offsets, the same wherever they are made.
+
+    Directions and unit vectors are rounded to so few bits that products and their sums are
+    exact in double precision. So a vector's cells don't depend on the batch it is
+    hashed in, whatever order a matrix product adds in.
+    """
 
     def __init__(self, dim: int, projections: int, tables: int, width: float = 2.0, seed: int = 7):
         rng = np.random.default_rng([seed, dim, projections, tables])
-        self.a = rng.standard_normal((dim, tables * projections))
+        self.step = 2.0 ** ((50 - math.ceil(math.log2(dim + 1))) // 2)
+        self.a = np.rint(np.clip(rng.standard_normal((dim, tables * projections)), -8, 8) * self.step) / self.step
         self.b = rng.random(tables * projections) * width
         self.shape, self.width = (tables, projections), width
 
-    def buckets(self, unit: np.ndarray) -> np.ndarray:
+    def buckets(self, x: np.ndarray) -> np.ndarray:
         """A bucket hash for each row and table."""
+        x = np.rint(scaled(x) * self.step) / self.step
+        unit = np.rint(x / np.sqrt((x * x).sum(axis=1, keepdims=True)) * self.step) / self.step
         cell = np.floor((unit @ self.a + self.b) / self.width).astype(np.int64).astype(U64).reshape(-1, *self.shape)
         h = np.broadcast_to(np.arange(self.shape[0], dtype=U64) + U64(1), cell.shape[:2]).copy()
         for j in range(self.shape[1]):
@@ -89,10 +102,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
             for batch in batches:
                 for a in range(0, batch.num_rows, 4096):
                     part = batch.slice(a, 4096)
-                    x = _vectors(part.column("v"), dim)
-                    x /= np.abs(x).max(axis=1, keepdims=True)
-                    h = hasher.buckets(x / np.linalg.norm(x, axis=1, keepdims=True))
-                    n = len(x)
+                    h = hasher.buckets(_vectors(part.column("v"), dim))
+                    n = len(h)
                     yield pa.record_batch([pa.array(np.tile(part.column("rep").to_numpy(), tables)), pa.array(np.repeat(np.arange(tables, dtype=np.int32), n)), pa.array(h.T.ravel().view(np.int64))], names=["rep", "t", "bucket"])
 
         placed = store.keep(own.select("rep", "v").mapInArrow(bucketed, "rep long, t int, bucket long"), f"buckets{dim}")
@@ -109,9 +120,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
                 t, bucket, lo, hi = (upto.column(c).to_numpy() for c in ("t", "bucket", "lo", "hi"))
                 new = np.flatnonzero((np.diff(t) != 0) | (np.diff(bucket) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
                 rep, left, copies = upto.column("rep").to_numpy(), upto.column("left").to_numpy(), upto.column("copies").to_numpy()
-                x = _vectors(upto.column("v").combine_chunks(), dim)
-                scaled = x / np.abs(x).max(axis=1, keepdims=True)
-                h = hasher.buckets(scaled / np.linalg.norm(scaled, axis=1, keepdims=True))
+                x = scaled(_vectors(upto.column("v").combine_chunks(), dim))
+                h = hasher.buckets(x)
                 norm = np.linalg.norm(x, axis=1)
                 ids, links, us, vs = [], [], [], []
                 for a, b in zip([0, *new.tolist()], [*new.tolist(), len(t)]):

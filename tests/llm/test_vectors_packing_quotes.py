@@ -25,11 +25,37 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert vector_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_buckets_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(4)
+    for dim in (3, 96, 1024):
+        h, x = vector_dedup.Hasher(dim, 8, 12), rng.standard_normal((300, dim)) * 10.0 ** rng.integers(-200, 200, (300, 1))
+        whole = h.buckets(x)
+        for n in (1, 2, 7, 128):
+            assert np.array_equal(whole, np.concatenate([h.buckets(x[i : i + n]) for i in range(0, 300, n)]))
+        assert np.array_equal(whole, h.buckets(x * 2.0**-30))
+
+
+def test_ties_and_huge_components(spark):
+    """Cosines of exactly 0.9 (1800 of 2000) link, the next lower ones don't, whatever the scale."""
+    one, tie, below = [2000.0, 0.0, 0.0], [1800.0, 760000.0**0.5, 0.0], [1799.999, 0.0, -(760003.6**0.5)]
+    far = [0.0, 0.0, 1.0]
+    rows = [(1, one), (2, [x * 1e300 for x in one]), (3, [x * 1e-300 for x in one]), (4, [1.7e308, 1.7e308, 0.0]), (5, [1.0, 1.0, 0.0]), (6, far), (7, far), (8, below)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+    x = np.array([one, tie])
+    cosine = x[0] @ x[1] / (np.linalg.norm(x[0]) * np.linalg.norm(x[1]))
+    got = vector_dedup.near_duplicates(spark.createDataFrame([(1, one), (2, tie)], "vec_id long, embedding array<double>"), least=float(cosine), recall=1 - 1e-9).collect()
+    assert [r.n_links for r in got] == [1, 1]
+    got = vector_dedup.near_duplicates(spark.createDataFrame([(1, one), (2, tie)], "vec_id long, embedding array<double>"), least=float(np.nextafter(cosine, 1)), recall=1 - 1e-9).collect()
+    assert [r.n_links for r in got] == [0, 0]
+
+
 def test_collision_rate_of_the_hash():
     rng = np.random.default_rng(1)
     h = vector_dedup.Hasher(16, 1, 4000)
-    a = rng.standard_normal(16)
-    b = a + 0.7 * np.eye(16)[0]
+    a, e = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+    angle = 2 * np.arcsin(0.35)  # unit vectors 0.7 apart
+    b = np.cos(angle) * a + np.sin(angle) * e
     same = (h.buckets(np.array([a])) == h.buckets(np.array([b]))).mean()
     assert abs(same - vector_dedup.collision(0.7, 2.0)) < 0.03
 
@@ -58,6 +84,17 @@ def test_packing(spark):
     assert pack(df.limit(0)).collect() == []
 
 
+def test_repeated_ids_go_to_many_lots(spark):
+    """Half of the rows are one id and length, some with other lengths: no lot is much over its bound."""
+    rows = spark.range(40_000).selectExpr("CASE WHEN id % 2 = 0 THEN NULL ELSE id % 5 END AS doc_id", "CASE WHEN id % 8 = 1 THEN id % 900 ELSE 7 END AS length").withColumn("n", F.lit(1)).withColumn("piece", F.lit(2)).withColumn("copies", F.lit(3))
+    got = pack(rows, lot_rows=4000)
+    lots = got.where("bin_id IS NOT NULL").groupBy((F.col("bin_id") / 2**24).cast("long").alias("lot")).count().collect()
+    assert len(lots) == 10 and max(r["count"] for r in lots) < 8000
+    assert got.count() == 40_000 and got.agg(F.sum("length")).first()[0] == rows.agg(F.sum("length")).first()[0]
+    spans = got.where("length > 0").groupBy("bin_id").agg(F.sum("length").alias("used"), F.max(F.col("start") + F.col("length")).alias("end"), F.countDistinct("start").alias("starts"), F.count("*").alias("n"), F.max("capacity").alias("c"))
+    assert spans.where("used <> end OR starts <> n OR end > c").count() == 0
+
+
 def test_best_fit_takes_the_tightest_room():
     bins, starts, sizes = pack_lot([7, 6, 3, 2, 2], (4, 10), attention=0.0)
     assert [bins[0], bins[2]] == [bins[0], bins[0]] and starts[2] == 7 and sizes[bins[0]] == 10
