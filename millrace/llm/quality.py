@@ -110,12 +110,12 @@ def chi2_quantile(q: float, p: int) -> float:
     return high
 
 
-def _factor(table: DataFrame, names: list[str], scale: float) -> DataFrame:
-    """Adds the Cholesky factor l_i_j of each row's covariances c_i_j (times scale, with the least variances added)."""
+def _factor(table: DataFrame, names: list[str]) -> DataFrame:
+    """Adds the Cholesky factor l_i_j of each row's covariances c_i_j with the least variances added."""
     floors = [VECTOR[n][1] ** 2 for n in names]
     for i in range(len(names)):
         for j in range(i + 1):
-            rest = F.col(f"c_{i}_{j}") * scale
+            rest = F.col(f"c_{i}_{j}")
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             cell = F.sqrt(F.greatest(rest, F.lit(0.0)) + floors[i]) if i == j else rest / F.col(f"l_{j}_{j}")
@@ -133,12 +133,11 @@ def _distance(rows: DataFrame, p: int) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(p)), F.lit(0.0)))
 
 
-def robust_outliers(judged: DataFrame, rows: DataFrame, store: Scratch, names: list[str], share: float = 0.75, steps: int = 4, alpha: float = 1e-6) -> DataFrame:
-    """Adds d2 and outlier to `judged` (g, x_0 .. x_{p-1}) by a minimum covariance determinant per g of `rows`.
+def robust_estimates(rows: DataFrame, store: Scratch, names: list[str], share: float = 0.75, most_steps: int = 12, settled: float = 0.01) -> DataFrame:
+    """The minimum covariance determinant of each group of `rows` (g, x_0 .. x_{p-1}): g, means m_i, covariances c_i_j and log_det.
 
-    `rows` (the same columns) must have each g of `judged`. Starts from each
-    group's medians and median deviations and takes concentration steps: distances, the share of rows with the least of them,
-    their mean and covariance. A step is one aggregate by group with partial
+    Starts from each group's medians and median deviations and takes concentration steps: distances, the share of rows with the least of them,
+    their mean and covariance, until no group's log determinant changes by more than `settled`, or `most_steps`. A step is one aggregate by group with partial
     sums; the cut comes from a histogram of the logarithm of the distances, so
     that no group's rows are ever brought together. The estimates have one row
     per group.
@@ -146,15 +145,15 @@ def robust_outliers(judged: DataFrame, rows: DataFrame, store: Scratch, names: l
     p = len(names)
     xs = range(p)
     n_groups = rows.select("g").distinct().count()
-    medians = rows.groupBy("g").agg(*[F.percentile_approx(f"x_{i}", 0.5, 2000).alias(f"m_{i}") for i in xs])
-    medians = store.keep(medians, "medians")
+    medians = store.keep(rows.groupBy("g").agg(*[F.percentile_approx(f"x_{i}", 0.5, 2000).alias(f"m_{i}") for i in xs]), "medians")
     spread = rows.join(small(medians, n_groups), "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")), 0.5, 2000).alias(f"s_{i}") for i in xs])
     start = medians.join(small(spread, n_groups), "g")
     start = start.withColumns({f"c_{i}_{j}": (1.4826 * F.col(f"s_{i}")) ** 2 if i == j else F.lit(0.0) for i in xs for j in range(i + 1)})
-    now = store.keep(_factor(start, names, 1.0), "start")
-    old = [medians]
+    log_det = sum((2 * F.log(f"l_{i}_{i}") for i in xs), F.lit(0.0)).alias("log_det")
+    now = store.keep(_factor(start, names).select("*", log_det), "start")
+    store.drop(medians)
     scale = share / chi2_cdf(chi2_quantile(share, p), p + 2)
-    for step in range(steps):
+    for step in range(most_steps):
         far = _distance(rows.join(small(now, n_groups), "g"), p).withColumn("bin", F.floor(F.log(F.greatest(F.col("d2"), F.lit(1e-6))) * BINS_PER_E).cast("int"))
         counts = far.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"))
         order = "PARTITION BY g ORDER BY bin"
@@ -164,26 +163,53 @@ def robust_outliers(judged: DataFrame, rows: DataFrame, store: Scratch, names: l
             "cut",
         )
         near = far.join(small(cut, n_groups), "g").where("bin <= cut")
-        sums = [F.count(F.lit(1)).alias("h")] + [F.avg(f"x_{i}").alias(f"m_{i}") for i in xs] + [F.avg(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"q_{i}_{j}") for i in xs for j in range(i + 1)]
+        sums = [F.avg(f"x_{i}").alias(f"m_{i}") for i in xs] + [F.avg(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"q_{i}_{j}") for i in xs for j in range(i + 1)]
         est = near.groupBy("g").agg(*sums)
-        est = est.withColumns({f"c_{i}_{j}": F.col(f"q_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}") for i in xs for j in range(i + 1)})
-        after = store.keep(_factor(est, names, scale), f"step{step}")
-        store.drop(*old, cut)
-        old, now = [now], after
-    store.drop(*old)
-    return _distance(judged.join(small(now, n_groups), "g"), p).withColumn("outlier", F.col("d2") > chi2_quantile(1 - alpha, p))
+        est = est.withColumns({f"c_{i}_{j}": scale * (F.col(f"q_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) for i in xs for j in range(i + 1)})
+        after = store.keep(_factor(est, names).select("*", log_det), f"step{step}")
+        moved = now.select("g", F.col("log_det").alias("was")).join(small(after, n_groups), "g").agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
+        store.drop(now, cut)
+        now = after
+        if moved is None or moved <= settled:
+            break
+    return now.select("g", *(f"m_{i}" for i in xs), *(f"c_{i}_{j}" for i in xs for j in range(i + 1)), "log_det")
+
+
+def _pooled(pairs: DataFrame, estimates: DataFrame, n_pairs: int, names: list[str], prior_rows: float) -> DataFrame:
+    """lang and source with mean and Cholesky factor of the mixture of the estimates of the pair, its language and the table.
+
+    `pairs` has lang, source, and the row counts n and n_lang. Of a level's n rows and what is left of the weight, the level
+    takes n^2 / (n^2 + prior_rows^2), so that a pair of many rows is judged by its own estimate and one of few
+    rows by its language's, and nothing changes at once at any size. The mixture's covariance holds what the
+    levels' means differ by; as a level's own mean is no more than 1 / weight away by that, a few odd rows don't
+    make themselves the rule: at the bound of alpha = 1e-6 it takes 33 rows, of 200.
+    """
+    xs = range(len(names))
+    cells = [f"m_{i}" for i in xs] + [f"c_{i}_{j}" for i in xs for j in range(i + 1)]
+    table = pairs
+    for k, g in (("p", F.to_json(F.array("lang", "source"))), ("l", F.to_json(F.array("lang"))), ("a", F.lit("[]"))):
+        table = table.withColumn("g", g).join(small(estimates.select("g", *(F.col(c).alias(f"{k}_{c}") for c in cells)), n_pairs), "g").drop("g")
+    own, wide = (1 / (1 + (prior_rows / F.col(n)) ** 2) for n in ("n", "n_lang"))
+    table = table.withColumns({"w_p": own, "w_l": (1 - own) * wide, "w_a": (1 - own) * (1 - wide)})
+    table = table.withColumns({f"m_{i}": sum((F.col(f"w_{k}") * F.col(f"{k}_m_{i}") for k in "pla"), F.lit(0.0)) for i in xs})
+
+    def mixed(i: int, j: int) -> Column:
+        return sum((F.col(f"w_{k}") * (F.col(f"{k}_c_{i}_{j}") + (F.col(f"{k}_m_{i}") - F.col(f"m_{i}")) * (F.col(f"{k}_m_{j}") - F.col(f"m_{j}"))) for k in "pla"), F.lit(0.0))
+
+    table = table.withColumns({f"c_{i}_{j}": mixed(i, j) for i in xs for j in range(i + 1)})
+    return _factor(table.select("lang", "source", *cells), names)
 
 
-def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_words: int = 10, most_repeated: int = 20, least_group: int = 200, share: float = 0.75, alpha: float = 1e-6, carry: bool = False) -> DataFrame:
+def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_words: int = 10, most_repeated: int = 20, prior_rows: float = 200.0, share: float = 0.75, alpha: float = 1e-6, carry: bool = False) -> DataFrame:
     """Statistics, the base rule and a robust outlier verdict for every row of `df`.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
     (long), base_failed (fewer than `least_words` words, or over `most_repeated`
     per cent of them in repeated five-word windows), kept and distance (squared,
-    null where base_failed). Estimates are made for each pair of lang and source
-    over the rows that pass the base rule; a pair with fewer than `least_group`
-    such rows uses its language's estimate, made over all such rows of the language,
-    and a language with fewer the one of all such rows of the table. A null lang or
+    null where base_failed). Over the rows that pass the base rule, estimates are made for each pair of lang and source,
+    each language and the whole table. A row is judged by a mixture of its three ones, in which
+    a level of n rows takes n^2 / (n^2 + `prior_rows`^2) of the weight that the levels below it leave: 0.99 for
+    a pair of 2000 rows, 0.5 for one of 200, 0.0025 for one of 10. A null lang or
     source is a value of its own. Each repeated row gets its own row; an empty table
     gives none. Other columns are not read, but with `carry` each row of `df` comes
     along whole, as the column row.
@@ -196,25 +222,16 @@ def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     stats = store.keep(stats.withColumns({f"x_{i}": VECTOR[n][0]().cast("double") for i, n in enumerate(names)}), "stats")
     good = stats.where("NOT base_failed")
     by_pair = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    groups = store.keep(by_pair.withColumns({"n_lang": F.sum("n").over(_by("lang")), "least": F.min("n").over(_by("lang"))}), "groups")
-    n_groups, rarest = groups.agg(F.count(F.lit(1)), F.min("n_lang")).first()
-    g = F.when(F.col("n") >= least_group, F.to_json(F.array("lang", "source"))).when(F.col("n_lang") >= least_group, F.to_json(F.array("lang"))).otherwise("[]")
-    # a row adds to every estimate that covers it and that some row is judged by, its own pair's only or also the wider ones
-    covers = [
-        F.when(F.col("n") >= least_group, F.to_json(F.array("lang", "source"))),
-        F.when((F.col("n_lang") >= least_group) & (F.col("least") < least_group), F.to_json(F.array("lang"))),
-        F.when(F.lit(rarest is not None and rarest < least_group), F.lit("[]")),
-    ]
-    chosen = groups.select("lang", "source", g.alias("g"), F.array_compact(F.array(*covers)).alias("gs"))
-    met = good.join(small(chosen, n_groups), ["lang", "source"])
-    xs = [f"x_{i}" for i in range(len(names))]
-    rows = ["row"] if carry else []
-    fit = met.select(F.explode("gs").alias("g"), *xs)
-    judged = met.select("g", *xs, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *rows)
-    found = robust_outliers(judged, fit, store, names, share, alpha=alpha)
-    out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *rows]
+    pairs = store.keep(by_pair.withColumn("n_lang", F.sum("n").over(_by("lang"))), "pairs")
+    n_pairs = pairs.count()
+    levels = F.array(F.to_json(F.array("lang", "source")), F.to_json(F.array("lang")), F.lit("[]"))
+    estimates = robust_estimates(good.select(F.explode(levels).alias("g"), *(f"x_{i}" for i in range(len(names)))), store, names, share)
+    judge = store.keep(_pooled(pairs, estimates, n_pairs, names, prior_rows), "judge")
+    store.keep_only(stats, judge)
+    found = _distance(good.join(small(judge, n_pairs), ["lang", "source"]), len(names))
+    out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(["row"] if carry else [])]
     failed = stats.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
-    return found.select(*out, (~F.col("outlier")).alias("kept"), F.col("d2").alias("distance")).union(failed)
+    return found.select(*out, (F.col("d2") <= chi2_quantile(1 - alpha, len(names))).alias("kept"), F.col("d2").alias("distance")).union(failed)
 
 
 def _by(*cols: str):
