@@ -7,11 +7,14 @@ import json
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: str | None = None
+_watching: list[list[Scratch]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +43,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}", 0
         self.live: set[str] = set()
+        for made in _watching:
+            made.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -63,6 +68,24 @@ class Scratch:
         self._remove(self.live - {df._millrace_path for df in tables})
 
 
+@contextmanager
+def watched() -> Iterator[list[Scratch]]:
+    """The Scratch folders that are made inside, by operators that return results from them."""
+    made: list[Scratch] = []
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching.remove(made)
+
+
+def reads(df: DataFrame, scratch: Scratch) -> bool:
+    """Whether the plan of `df` reads a table of `scratch`."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    paths = (x.relation().location().rootPaths().mkString(" ") for x in map(leaves.apply, range(leaves.size())) if x.nodeName().startswith("LogicalRelation"))
+    return any(scratch.root.rsplit("/", 1)[1] in p for p in paths)
+
+
 def inline_rows(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """A small literal table, made by the JVM."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")))

@@ -21,9 +21,9 @@ LIGHT_SHARE = 16
 #: Rows of one pivot that a task compares; a pivot with more partners is dealt to several tasks.
 PARTNERS = 2048
 #: Open members up to which a group's pairs are tested each; members of larger ones are brought together by prefixes.
-GROUP = 64
-#: Pivots of a group that one round tests at most; further rounds take the rest.
-PIVOTS = 1024
+GROUP = 8
+#: Pivots of a group that the first round tests, and that one round tests at most; further rounds take the rest.
+FIRST_PIVOTS, PIVOTS = 32, 1024
 #: 64-bit words of the short sketch that travels with a signature.
 SHORT = 4
 WORDS = [f"s{i}" for i in range(SHORT)]
@@ -485,7 +485,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         store.drop(crowded, counts)
     store.drop(crowd)
 
-    low, step = 0, GROUP  # ranks up to `low` have met all others of their groups
+    low, step = 0, max(GROUP, FIRST_PIVOTS)  # ranks up to `low` have met all others of their groups
     while True:
         now = opened(rest, f"open{low}")
         store.drop(left)
@@ -508,7 +508,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 comp = store.keep(connected_components(links, store), f"comp{low}")
         rest = left.where(F.col("rank") > low).select("sig", "rank", "u")
         _settle(spark)
-        step = min(4 * step, PIVOTS)
+        step = min(8 * step, PIVOTS)
 
     linked = comp.join(classes.select(F.col("u").alias("node"), "rep.doc_id"), "node")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))

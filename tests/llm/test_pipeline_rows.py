@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 
 
@@ -38,3 +40,35 @@ def test_one_row_of_a_group_stays(docs, spark):
     near = a + " more"
     rows = [(None, a, "en", "s"), (3, a, "en", "s"), (3, a, "en", "s"), (3, b, "en", "s"), (9, near, "en", "s"), (None, c, "en", "s"), (None, c, "en", "s")]
     assert kept(cp.drop_near_duplicates(spark, docs(rows), "")) == Counter({(3, a): 1, (3, b): 1, (None, c): 1})
+
+
+def test_stages_take_empty_tables_and_any_columns(docs, spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    make = texts(random.Random(12))
+    long = " ".join(make() for _ in range(3000))
+    rows = [(i, make(), "en", "s") for i in range(40)] + [(40, long, "en", "s"), (41, None, None, None), (42, "", "en", "s"), (None, None, "en", "s")]
+    full = docs(rows, extra=True).withColumns({c: F.lit(1) for c in ("row", "h", "predicted", "kept", "distance", "parity", "at", "component_id")})
+    for df in (full, full.limit(0)):
+        now = df
+        for name, stage in cp.STAGES[:-1]:
+            after = stage(spark, now, str(tmp_path))
+            assert after.dtypes == df.dtypes
+            if name == "toxicity":  # no labels: nothing is known to be toxic
+                assert after.count() == df.count()
+            now = after
+        ids = Counter(r.doc_id for r in now.collect())
+        assert ids == (Counter(range(41)) if df is full else Counter())
+        packed = cp.pack_sequences(spark, now, str(tmp_path))
+        assert packed.agg(F.sum("length")).first()[0] == (sum(len(t.encode()) for _, t, *_ in rows if t) if df is full else None)
+
+
+def test_a_stage_removes_what_stood_behind_its_predecessor(docs, spark, tmp_path):
+    make = texts(random.Random(13))
+    first = cp.drop_low_quality(spark, docs([(i, make(), "en", "s") for i in range(50)]), "")
+    roots = [s for s in cp._behind]
+    assert any(s.live for s in roots)
+    lazy = cp.drop_near_duplicates(spark, first, "")  # reads the first stage's tables still
+    assert lazy.count() == 50 and any(s.live for s in roots)
+    first.write.parquet(f"{tmp_path}/first")
+    cp.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/first"), "").count()
+    assert not any(s.live for s in roots)
