@@ -22,10 +22,10 @@ def buckets_of(spec: dict) -> int:
     fn = spec.get("fn", "")
     if fn == "alwayszero":
         return 1
-    if "buckets" not in spec:
-        raise MissingParameter("hash.buckets")
     if fn == "tpchq1magic":
         return 4
+    if "buckets" not in spec:
+        raise MissingParameter("hash.buckets")
     return int(spec["buckets"]) if fn == "exactrange" else power_of_two(spec["buckets"])
 
 
@@ -38,7 +38,7 @@ def hash_column(spec: dict, value: Column, *more: Column) -> Column:
         return F.lit(0).cast("long")
     size = buckets_of(spec)
     mask, skip, offset = size - 1, int(spec.get("skipbits", 0)), int(spec.get("offset", 0))
-    v = value.cast("long")
+    v = value.cast("long") if fn not in ("tpchq1magic", "willis", "bytes") else value
     if fn == "modulo":
         return v.bitwiseAND(F.lit(mask))
     if fn == "parammodulo":
@@ -60,11 +60,27 @@ def hash_column(spec: dict, value: Column, *more: Column) -> Column:
     if fn == "tpchorderkey":
         high = F.shiftright(v, 2).bitwiseAND(F.lit(~7))
         return high.bitwiseOR(v.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(mask))
-    if fn in ("willis", "bytes", "tpchq1magic"):  # only placement shows, so any good hash will do
+    if fn == "tpchq1magic":  # of two one-letter columns: bit 2 of the first one's code, then bit 4 of it or bit 0 of the second one's
+        a, b = F.ascii(value), F.ascii(more[0]) if more else F.lit(0)
+        low = F.shiftright(a, 4).bitwiseOR(b).bitwiseAND(F.lit(1))
+        return low.bitwiseOR(F.shiftright(a, 1).bitwiseAND(F.lit(2))).cast("long")
+    if fn in ("willis", "bytes"):  # only placement shows, so any good hash will do
         return F.pmod(F.xxhash64(value, *more), F.lit(size))
     raise UnknownHash(str(fn))
 
 
+def passes(spec: dict, n: int) -> list[dict]:
+    """A parammodulo function as n ones over its bits from the highest down; the last takes what doesn't divide evenly."""
+    if spec.get("fn") != "parammodulo":
+        raise InvalidParameter("only parammodulo goes in passes")
+    bits = buckets_of(spec).bit_length() - 1
+    if not 1 <= n <= max(1, bits):
+        raise InvalidParameter(f"{n} passes over {bits} bits")
+    widths = [bits // n] * (n - 1) + [bits - bits // n * (n - 1)]
+    skips = [int(spec.get("skipbits", 0)) + sum(widths[i + 1 :]) for i in range(n)]
+    return [{**spec, "buckets": 1 << w, "skipbits": s} for w, s in zip(widths, skips)]
+
+
 def _div(a: Column, b: int) -> Column:
     """Integer division towards zero."""
     return F.call_function("div", a, F.lit(b).cast("long"))

@@ -56,8 +56,11 @@ def pack(batch: pa.RecordBatch, fields: list[Field]) -> np.ndarray:
     return out.view(np.uint8).reshape(batch.num_rows, kind.itemsize)
 
 
-def unpack(rows: list[bytes], fields: list[Field]) -> list[pa.Array]:
-    raw = np.frombuffer(b"".join(rows), dtype(fields))
+def unpack(rows: pa.Array, fields: list[Field]) -> list[pa.Array]:
+    """The columns of a binary column of packed rows."""
+    _, ends, data = rows.cast(pa.large_binary()).buffers()
+    first = int(np.frombuffer(ends, np.int64, 1, rows.offset * 8)[0])
+    raw = np.frombuffer(data, dtype(fields), len(rows), first)
     out = []
     for i, f in enumerate(fields):
         col = raw[f"c{i}"]

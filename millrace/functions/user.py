@@ -15,6 +15,11 @@ def column_map(*columns: Callable[[DataFrame], Column]) -> UserOp:
     return lambda df, node: df.select(*[c(df).alias(f"c{i}") for i, c in enumerate(columns)])
 
 
+def column_fold(keys: list[str], *aggregates: Callable[[DataFrame], Column]) -> UserOp:
+    """An aggregate by column expressions, each a function of the input: keys, then aggregates. Spark combines before the shuffle."""
+    return lambda df, node: df.groupBy(*keys).agg(*[a(df).alias(f"a{i}") for i, a in enumerate(aggregates)])
+
+
 def row_map(function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> UserOp:
     """A map by batches: any number of rows out for those in, in Arrow batches."""
 
@@ -28,6 +33,7 @@ def row_map(function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> Us
 def fold(keys: list[str], start: Callable, step: Callable, finish: Callable, schema: str, combine: Callable | None = None) -> UserOp:
     """An aggregate by start(row), step(state, row) and finish(key, state) -> output row.
 
+    For folds that column expressions can't give (see column_fold): it calls Python for each row.
     With combine(state, state) each batch is folded before the shuffle, and only
     states travel; they are pickled. Without it a key's rows meet in one task.
     """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidParameter
 from ..functions.hashing import hash_column
 from ..functions.packed import pack, xor_words
+from ..scratch import file_system
 from ..types import Field, compare, field_of, literal
 
 
@@ -83,9 +85,6 @@ def join(build: Rel, probe: Rel, build_key: int, probe_key: int, projection: lis
         raise InvalidParameter("join key out of range")
     compare(F.lit(0), "=", F.lit(0), b, p)
     several = groups is not None and len(groups) > 1
-    flat = [t for g in groups or [] for t in g]
-    if len(flat) != len(set(flat)):
-        raise InvalidParameter("a thread may be in one group only")
 
     def side(rel: Rel, mark: str) -> DataFrame:
         df = rel.df if rel.threaded else rel.df.withColumn("_tid", F.lit(0))
@@ -195,14 +194,36 @@ def consume(rel: Rel) -> Rel:
     return Rel(out, (Field("int", 4),))
 
 
-def write_segments(rel: Rel, paths: list[str], policy: str = "round-robin", mode: str = "append") -> Rel:
-    """Writes the rows as Parquet segments, spread over the paths under round-robin, and gives no rows."""
-    if policy not in ("bind", "round-robin", "interleave"):
-        raise InvalidParameter(f"policy {policy!r}")
-    df = rel.rows()
-    if len(paths) == 1 or policy != "round-robin":
-        df.write.mode(mode).parquet(paths[0])
-    else:
-        for i, path in enumerate(paths):
-            df.where(F.pmod(F.xxhash64(*rel.names), F.lit(len(paths))) == i).write.mode(mode).parquet(path)
-    return Rel(df.limit(0), rel.fields)
+def group_sizes(rel: Rel, keys: list[int]) -> Rel:
+    """How many groups of `keys` have each number of rows: rows, groups."""
+    sizes = rel.df.groupBy(*[rel.column(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    return Rel(sizes.groupBy(F.col("n").alias("c0")).agg(F.count(F.lit(1)).alias("c1")), (Field("long", 8), Field("long", 8)))
+
+
+def check_policy(policy: str | None, paths: int, nodes: int) -> None:
+    """Rows go round over several paths under round-robin only; placement by memory nodes has no meaning here, but its numbers must fit."""
+    allowed = {None: paths == 1 or not nodes, "round-robin": nodes in (0, paths), "bind": paths == 1 and nodes <= 1, "interleave": paths == 1}
+    if paths < 1 or not allowed.get(policy, False):
+        raise InvalidParameter(f"policy {policy!r} with {paths} paths and {nodes} nodes")
+
+
+def write_segments(rel: Rel, paths: list[str], size: int) -> None:
+    """Appends the rows as Parquet files of at most `size` bytes of packed rows each (one row at least), in turn to the paths.
+
+    The plan runs once: rows are written by path number to a folder beside the first path, and its files
+    are then moved.
+    """
+    width = sum(f.width for f in rel.fields)
+    writer = rel.rows().withColumn("_path", F.pmod(F.monotonically_increasing_id(), F.lit(len(paths))))
+    session = rel.df.sparkSession
+    staging = f"{paths[0].rstrip('/')}-{uuid.uuid4().hex}"
+    writer.write.option("maxRecordsPerFile", max(1, size // width)).partitionBy("_path").parquet(staging)
+    made, fs = file_system(session, staging)
+    for i, path in enumerate(paths):
+        to, _ = file_system(session, path)
+        fs.mkdirs(to)
+        part, _ = file_system(session, f"{staging}/_path={i}")
+        for status in fs.listStatus(part) if fs.exists(part) else []:
+            if not fs.rename(status.getPath(), session._jvm.org.apache.hadoop.fs.Path(to, status.getPath().getName())):
+                raise OSError(f"{status.getPath()} can't be moved to {path}")
+    fs.delete(made, True)

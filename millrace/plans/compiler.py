@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
+import time
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -40,17 +43,85 @@ def _one(value):
     return value[0] if isinstance(value, list) else value
 
 
+def _groups(node: dict) -> list[list[int]]:
+    """threadgroups: lists of threads, each thread in one of them at most."""
+    groups = _need(node, "threadgroups")
+    if not isinstance(groups, list) or not groups or not all(isinstance(g, list) and g for g in groups):
+        raise InvalidParameter(f"threadgroups is a list of lists of threads, not {groups!r}")
+    threads = [int(t) for g in groups for t in g]
+    if len(threads) != len(set(threads)):
+        raise InvalidParameter("a thread may be in one group only")
+    return [[int(t) for t in g] for g in groups]
+
+
+@dataclass
+class Node:
+    """A node of a compiled plan, with what it gives."""
+
+    depth: int
+    name: str
+    kind: str
+    rel: Rel
+
+
+@dataclass
+class Measure:
+    """What running a plan up to a node took, and of that the node and those below it down to the next measured ones."""
+
+    name: str
+    rows: int
+    seconds: float
+    own_seconds: float
+
+
 @dataclass
 class Plan:
-    """The compiled plan: its DataFrame, and row counts of printer_tuplecount nodes after it has run."""
+    """The compiled plan: its DataFrame, and row counts of printer_tuplecount nodes after it has run.
+
+    `df` is lazy. A plan with writers writes when run() is called, not before.
+    """
 
     df: DataFrame
     rel: Rel
     observations: dict[str, Observation] = field(default_factory=dict)
+    nodes: list[Node] = field(default_factory=list)
+    writers: list[Callable[[], None]] = field(default_factory=list)
 
     def explain(self, mode: str = "formatted") -> None:
         self.df.explain(mode)
 
+    def run(self) -> DataFrame:
+        """Writes what the plan's writers write, once a call, and gives the plan's rows."""
+        for write in self.writers:
+            write()
+        return self.df
+
+    def tree(self, measured: list[Measure] | None = None) -> str:
+        """The operator tree with each node's type and columns, and what profile() measured."""
+        known = {m.name: f"  {m.rows} rows, {m.seconds:.3f} s, {m.own_seconds:.3f} s of its own" for m in measured or []}
+        kinds = lambda n: ", ".join(f.kind for f in n.rel.fields)
+        return "\n".join(f"{'  ' * n.depth}{n.name} ({n.kind}): {kinds(n)}{known.get(n.name, '')}" for n in self.nodes)
+
+    def profile(self) -> list[Measure]:
+        """Runs the plan up to each cycle_accountant (up to every node, if it has none) and takes rows and time.
+
+        Operators of a stage run fused, so a node has no time of its own to be read off a single run; each
+        measured node is run by itself, and what the measured ones below it took is subtracted.
+        """
+        chosen = [n for n in self.nodes if n.kind == "cycle_accountant"] or self.nodes
+        out: list[Measure] = []
+        took: list[tuple[Node, float]] = []
+        for n in reversed(chosen):  # nodes below come later in the list
+            seen = Observation()
+            began = time.perf_counter()
+            n.rel.rows().observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+            seconds, below = time.perf_counter() - began, 0.0
+            while took and took[-1][0].depth > n.depth:
+                below += took.pop()[1]
+            took.append((n, seconds))
+            out.append(Measure(n.name, seen.get["rows"], seconds, max(0.0, seconds - below)))
+        return out[::-1]
+
 
 class Compiler:
     def __init__(self, spec: dict, spark: SparkSession, user_ops: dict[str, UserOp] | None = None, tables: dict[str, DataFrame] | None = None):
@@ -58,15 +129,18 @@ class Compiler:
         self.user, self.tables = user_ops or {}, tables or {}
         self.path = spec.get("path", "")
         self.observations: dict[str, Observation] = {}
+        self.nodes: list[Node] = []
+        self.writers: list[Callable[[], None]] = []
+        self.depth = -1
 
     def compile(self) -> Plan:
         rel = self.tree(_need(self.spec, "treeroot"), 1, None)
-        return Plan(rel.rows(), rel, self.observations)
+        return Plan(rel.rows(), rel, self.observations, self.nodes, self.writers)
 
     # the tree
 
     def node(self, branch: dict) -> dict:
-        if "name" not in branch:
+        if not isinstance(branch, dict) or "name" not in branch:
             raise MissingParameter("a tree node has no name")
         name = branch["name"]
         if name not in self.spec:
@@ -74,7 +148,7 @@ class Compiler:
         if "type" not in self.spec[name]:
             raise MissingParameter(f"{name}.type")
         for key in IGNORED & set(self.spec[name]):
-            warnings.warn(f"{name}.{key} has no meaning here", stacklevel=2)
+            warnings.warn(f"{name}.{key} is read and has no effect here", stacklevel=2)
         return self.spec[name]
 
     def child(self, branch: dict, key: str, threads: int, keys: DataFrame | None) -> Rel:
@@ -83,8 +157,14 @@ class Compiler:
         return self.tree(branch[key], threads, keys)
 
     def tree(self, branch: dict, threads: int, keys: DataFrame | None) -> Rel:
-        node = self.node(branch)
-        kind = node["type"]
+        node, at = self.node(branch), len(self.nodes)
+        self.depth += 1
+        rel = self.compiled(branch, node, node["type"], threads, keys)
+        self.nodes.insert(at, Node(self.depth, branch["name"], node["type"], rel))
+        self.depth -= 1
+        return rel
+
+    def compiled(self, branch: dict, node: dict, kind: str, threads: int, keys: DataFrame | None) -> Rel:
         if kind in JOINS:
             return self.join(branch, node, threads, keys)
         source = getattr(self, f"scan_{kind}", None)
@@ -109,8 +189,8 @@ class Compiler:
 
     def instrument(self, name: str, kind: str, rel: Rel) -> Rel:
         if kind == "printer_schema":
-            print(rel.rows().schema.simpleString())
-        elif kind == "printer_tuplecount":
+            print(rel.rows().schema.simpleString(), file=sys.stderr)
+        elif kind in ("printer_tuplecount", "printer_callcount"):
             key = name
             while key in self.observations:
                 key += "'"
@@ -220,7 +300,9 @@ class Compiler:
     def join(self, branch: dict, node: dict, threads: int, keys) -> Rel:
         build_key, probe_key = int(_need(node, "buildjattr")), int(_need(node, "probejattr"))
         projection = [_position(p, "BP") for p in _need(node, "projection")]
-        groups = [[int(t) for t in g] for g in node["threadgroups"]] if "threadgroups" in node and all(isinstance(x, list) for x in node["threadgroups"]) else None
+        groups = _groups(node)
+        if node["type"] == "preprejoin":  # it joins what each thread of the groups reads, on its own
+            groups = [[t] for g in groups for t in g]
         build = self.child(branch, "build", threads, None)
         pushed = build.df.select(build.column(build_key)).distinct() if node["type"] == "indexhashjoin" else None
         probe = self.child(branch, "probe", threads, pushed)
@@ -242,7 +324,7 @@ class Compiler:
             raise MissingParameter(f"{branch['name']}.input")
         # a sum of thread-local sums or counts by the same keys is one aggregate, which Spark splits itself
         below = inner
-        while value is not None and below and self.node(below)["type"] in PASS_THROUGH - {"printer_tuplecount"} | {"merge"}:
+        while value is not None and below and self.node(below)["type"] in PASS_THROUGH - {"printer_tuplecount", "printer_callcount"} | {"merge"}:
             threads = int(self.node(below).get("threads", threads))
             below = below.get("input")
         if value is not None and below and self.node(below)["type"].startswith("aggregate_"):
@@ -281,8 +363,12 @@ class Compiler:
         return R.consume(rel)
 
     def op_shmwriter(self, node: dict, rel: Rel) -> Rel:
-        _need(node, "size")
-        return R.write_segments(rel, [str(p) for p in _need(node, "paths")], node.get("policy", "round-robin"))
+        paths = _need(node, "paths")
+        paths = [str(p) for p in paths] if isinstance(paths, list) else [str(paths)]
+        size, policy, nodes = int(_one(_need(node, "size"))), node.get("policy"), len(node.get("numanodes", ()))
+        R.check_policy(policy, len(paths), nodes)
+        self.writers.append(lambda: R.write_segments(rel, paths, size))
+        return Rel(self.spark.createDataFrame([], rel.rows().schema), rel.fields)
 
 
 def compile_plan(spec: dict | str, spark: SparkSession, user_ops: dict[str, UserOp] | None = None, tables: dict[str, DataFrame] | None = None) -> Plan:

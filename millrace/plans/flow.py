@@ -28,7 +28,7 @@ class Flow:
 
     def join(self, build: Flow, build_key: int, probe_key: int, projection: list[str], type: str = "hashjoin", **settings) -> Flow:
         name = f"n{next(_numbers)}"
-        node = {"type": type, "buildjattr": build_key, "probejattr": probe_key, "projection": projection, **settings}
+        node = {"type": type, "buildjattr": build_key, "probejattr": probe_key, "projection": projection, "threadgroups": [[0]], **settings}
         return Flow({**self.definitions, **build.definitions, name: node}, {"name": name, "build": build.tree, "probe": self.tree})
 
     def filter(self, column: int, op: str, value) -> Flow:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,16 +27,18 @@ def text(spark: SparkSession, path: str, fields: list[Field], separators: str =
 
 
 def binary(spark: SparkSession, path: str, fields: list[Field]) -> DataFrame:
-    """Packed rows of all files that match `path`; a file is split at row boundaries."""
+    """Packed rows of all files that match `path`; a file is split at row boundaries, read by the JVM and unpacked in Arrow batches."""
     schema = T.StructType([T.StructField(f"c{i}", f.spark) for i, f in enumerate(fields)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.record_batch(unpack(batch.column(0).to_pylist(), fields), names=schema.names)
+                yield pa.record_batch(unpack(batch.column(0), fields), names=schema.names)
 
-    raw = spark.sparkContext.binaryRecords(path, dtype(fields).itemsize).map(lambda r: (r,))
-    return spark.createDataFrame(raw, "r binary").mapInArrow(rows, schema)
+    context = spark.sparkContext._jsc.sc()
+    records = context.binaryRecords(path, dtype(fields).itemsize, context.hadoopConfiguration())
+    raw = DataFrame(spark._jsparkSession.createDataset(records, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
+    return raw.mapInArrow(rows, schema)
 
 
 def parquet(spark: SparkSession, path: str, columns: list[str] | None) -> DataFrame:
@@ -74,16 +75,39 @@ def row_range(df: DataFrame, order: list[str], part: int, parts: int) -> DataFra
     return numbered.where(low if part == parts - 1 else low & (F.col("_row") < step * (part + 1))).drop("_row")
 
 
-def with_row_id(df: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
-    """Adds _row, the dense 0-based rank by `order`: sampled ranges, each numbered on its own, and their offsets."""
-    first = df.select(F.col(order[0]).alias("v"))
-    cuts = list(first.where("v IS NOT NULL").selectExpr(f"percentile_approx(v, array({', '.join(str(i / buckets) for i in range(1, buckets))}), 2000) AS p").first().p or []) if dict(df.dtypes)[order[0]] in ("int", "bigint", "double", "date", "timestamp") else []
-    cell = reduce(lambda a, b: a + b, [F.coalesce((F.col(order[0]) > F.lit(c)).cast("int"), F.lit(0)) for c in sorted(set(cuts))], F.lit(0))
-    celled = df.withColumn("_cell", cell)
+#: Rows that one range of with_row_id holds, ranges at most, and sampled keys for each.
+RANGE_ROWS, MOST_RANGES, SAMPLES = 1_000_000, 512, 64
+
+
+def with_row_id(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds _row, the dense 0-based rank by `order`, a key of any columns that is unique: sampled ranges, each numbered on its own, and their offsets.
+
+    Keys are sampled whole and by their hash, so that a column with few values or one frequent value still
+    gives even ranges, and the same ones whenever the plan runs. Rows of equal keys may change places.
+    """
+    key = F.struct(*order)
+    n = df.count()
+    ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
+    cuts: list = []
+    if ranges > 1:
+        every = max(1, n // (ranges * SAMPLES))
+        keys = df.select(key.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).groupBy("k").count().orderBy("k").select("k").collect()
+        cuts = [keys[i * len(keys) // ranges].k for i in range(1, ranges)] if len(keys) >= ranges else [r.k for r in keys]
+    kinds = [df.schema[c].dataType for c in order]
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(cut, kinds, order)]) for cut in cuts]
+
+    def cell(low: int, high: int) -> Column:
+        """How many of the bounds from `low` to `high` are at or below the key."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(key < bounds[mid], cell(low, mid)).otherwise(cell(mid + 1, high))
+
+    celled = df.withColumn("_cell", cell(0, len(bounds)))
     counts = {r._cell: r.n for r in celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, shift = [], 0
-    for i in range(max(counts, default=0) + 1):
+    for i in range(len(bounds) + 1):
         before.append(shift)
         shift += counts.get(i, 0)
-    rank = F.expr(f"row_number() OVER (PARTITION BY _cell ORDER BY {', '.join(order)})")
+    rank = F.row_number().over(Window.partitionBy("_cell").orderBy(*order))
     return celled.withColumn("_row", rank - 1 + F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_cell") + 1)).drop("_cell")

@@ -94,9 +94,10 @@ def test_dates_map_and_join(spark, tmp_path):
 
 
 def test_sort_limit(spark, tmp_path):
-    data = [(22, 2), (14, 14), (3, 1), (22, 12), (1, 9), (15, 15), (17, 7), (2, 2), (14, 3)]
-    flow = text(lines(tmp_path / "s", data), ["long", "long"]).sort([0, 1], False, 5)
-    assert [tuple(r) for r in flow.compile(spark).df.collect()] == [(22, 12), (22, 2), (17, 7), (15, 15), (14, 14)]
+    data = [(i * 37 % 50, i * 11 % 7) for i in range(60)]
+    for ascending in (False, True):
+        flow = text(lines(tmp_path / f"s{ascending}", data), ["long", "long"]).sort([0, 1], ascending, 8)
+        assert [tuple(r) for r in flow.compile(spark).df.collect()] == sorted(data, reverse=not ascending)[:8]
 
 
 def test_partition_is_monotone_and_keeps_all(spark, tmp_path):
@@ -122,11 +123,88 @@ def test_user_map_and_project(spark, identity):
     assert rows(text(identity, ["long", "long"]).filter(0, "<", 10).project(1), spark) == [(i,) for i in range(1, 10)]
 
 
+def test_preprejoin_joins_by_thread(spark, tmp_path):
+    b, p = lines(tmp_path / "b", [(1, i) for i in range(10)]), lines(tmp_path / "p", [(1, i) for i in range(10)])
+    side = lambda f: Flow.source("partitionedscan", files=[f, f], filetype="text", schema=["long", "long"])
+    by_thread = rows(side(p).join(side(b), 0, 0, ["B$1", "P$1"], "preprejoin", threadgroups=[[0, 1]]).merge(2), spark)
+    by_group = rows(side(p).join(side(b), 0, 0, ["B$1", "P$1"], "newmpsmjoin", threadgroups=[[0, 1]]).merge(2), spark)
+    assert set(Counter(by_thread).values()) == {2} and set(Counter(by_group).values()) == {4}
+
+
+@pytest.mark.parametrize("groups", [None, [], [0, 1], [[0], []], "0", [[0], [1, 0]]])
+def test_thread_groups_are_needed_and_well_formed(spark, identity, groups):
+    flow = text(identity, ["long", "long"]).join(text(identity, ["long", "long"]), 0, 0, ["B$0"])
+    node = next(n for n in flow.definitions.values() if n["type"] == "hashjoin")
+    node.pop("threadgroups") if groups is None else node.update(threadgroups=groups)
+    with pytest.raises(errors.MissingParameter if groups is None else errors.InvalidParameter):
+        flow.compile(spark)
+
+
 def test_segments(spark, tmp_path, identity):
     paths = [str(tmp_path / "a"), str(tmp_path / "b")]
-    flow = text(identity, ["long", "long"]).count([0]).op("shmwriter", size=1, paths=paths, policy="round-robin")
-    assert rows(flow, spark) == []
-    assert sorted(tuple(r) for p in paths for r in spark.read.parquet(p).collect()) == [(i, 1) for i in range(1, 21)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(p):
+        seen.add(len(p))
+        return p
+
+    source = text(identity, ["long", "long"]).op("watch").op("again")
+    plan = source.op("shmwriter", size=32, paths=paths, policy="round-robin").compile(spark, {"watch": row_map(watch, "c0 long, c1 long"), "again": row_map(lambda p: p.assign(c1=7), "c0 long, c1 long")})
+    assert not any((tmp_path / p).exists() for p in "ab") and plan.df.collect() == []
+    assert plan.run().collect() == [] and seen.value == 20
+    parts = [[tuple(r) for r in spark.read.parquet(p).collect()] for p in paths]
+    assert sorted(parts[0] + parts[1]) == [(i, 7) for i in range(1, 21)] and [len(p) for p in parts] == [10, 10]
+    assert len(list((tmp_path / "a").glob("*.parquet"))) == 5 and sorted(x.name for x in tmp_path.iterdir()) == ["a", "b", "identity.tbl"]
+    plan.run()
+    assert spark.read.parquet(*paths).count() == 40
+
+
+@pytest.mark.parametrize("policy, paths, nodes, good", [(None, 1, 0, True), (None, 2, 2, False), ("bind", 1, 1, True), ("bind", 2, 1, False), ("bind", 1, 2, False), ("round-robin", 2, 2, True), ("round-robin", 2, 1, False), ("interleave", 1, 2, True), ("interleave", 2, 2, False), ("other", 1, 1, False)])
+def test_writer_policies(spark, tmp_path, identity, policy, paths, nodes, good):
+    settings = {"paths": [str(tmp_path / f"p{i}") for i in range(paths)], "numanodes": list(range(nodes))} | ({"policy": policy} if policy else {})
+    flow = text(identity, ["long", "long"]).op("shmwriter", size=1 << 20, **settings)
+    if good:
+        flow.compile(spark).run()
+        assert spark.read.parquet(*settings["paths"]).count() == 20
+    else:
+        with pytest.raises(errors.InvalidParameter):
+            flow.compile(spark)
+
+
+def test_empty_segments(spark, tmp_path, identity):
+    text(identity, ["long", "long"]).filter(0, "<", 0).op("shmwriter", size=1, paths=[str(tmp_path / "a")]).compile(spark).run()
+    assert not list((tmp_path / "a").glob("*.parquet"))
+
+
+PLAN = """
+# two files, their common keys summed
+path = "{path}/";
+left = {{ type = "scan"; filetype = "text"; file = "l.tbl"; schema = ("long", "dec"); }};
+right = {{ type = "scan"; filetype = "text"; file = "r.tbl"; schema = ("long", "date(%Y-%m-%d)"); }};
+meet = {{ type = "hashjoin"; buildjattr = 0; probejattr = 0; projection = ("B$1", "P$1"); threadgroups = ((0)); }};
+clock = {{ type = "cycle_accountant"; }}; inner = {{ type = "cycle_accountant"; }};
+add = {{ type = "aggregate_sum"; field = 0; sumfield = 1; }};
+treeroot = {{ name = "clock"; input = {{ name = "add"; input = {{ name = "inner"; input = {{
+  name = "meet"; build = {{ name = "right"; }}; probe = {{ name = "left"; }}; }}; }}; }}; }};
+"""
+
+
+def test_command_line_tree_and_profile(spark, tmp_path, capsys):
+    from millrace.__main__ import main
+
+    lines(tmp_path / "l.tbl", [(k, k / 4) for k in range(1, 9)])
+    lines(tmp_path / "r.tbl", [(k, f"2001-02-{1 + k % 2:02}") for k in range(1, 9)])
+    (tmp_path / "plan").write_text(PLAN.format(path=tmp_path))
+    assert main([str(tmp_path / "plan"), "--profile"]) == 0
+    said = capsys.readouterr().out.splitlines()
+    assert sorted(said[:2]) == ["2001-02-01|5.00", "2001-02-02|4.00"] and said[2].startswith("ResponseTimeInSec: ")
+    assert [x.split(" (")[0] for x in said[3:]] == ["clock", "  add", "    inner", "      meet", "        right", "        left"]
+    assert "2 rows" in said[3] and "8 rows" in said[5]
+    plan = compile_plan(PLAN.format(path=tmp_path), spark)
+    top, below = plan.profile()
+    assert (top.rows, below.rows) == (2, 8) and 0 <= top.own_seconds <= top.seconds and below.own_seconds == below.seconds
+    (tmp_path / "bad").write_text("treeroot = 1")
+    assert main([str(tmp_path / "bad")]) == 2
 
 
 def test_text_rules(spark, tmp_path):
@@ -171,6 +249,16 @@ def test_dense_row_ids(spark):
     assert sorted(r._row for r in got) == list(range(1000)) and all(r.k == r._row for r in got)
 
 
+def test_dense_row_ids_by_text_and_skewed_keys(spark, monkeypatch):
+    monkeypatch.setattr(scans, "RANGE_ROWS", 50)
+    df = spark.range(1000).selectExpr("CASE WHEN id % 10 < 9 THEN NULL ELSE id % 7 END AS a", "concat('k', id * 7 % 1000) AS b")
+    want = sorted(df.collect(), key=lambda r: (r.a is not None, r.a or 0, r.b))
+    numbered = scans.with_row_id(df, ["a", "b"])
+    got = sorted(numbered.collect(), key=lambda r: r._row)
+    assert [(r.a, r.b) for r in got] == [(r.a, r.b) for r in want] and [r._row for r in got] == list(range(1000))
+    assert scans.with_row_id(df.limit(0), ["a", "b"]).collect() == []
+
+
 def test_config_grammar():
     got = parse('a = 1; b : { c = "x" "y"; d = [1, 2]; } # note\ne = ( (0, 1.5), {f = true;} ); g = 0x1FL; /* z */')
     assert got == {"a": 1, "b": {"c": "xy", "d": [1, 2]}, "e": [[0, 1.5], {"f": True}], "g": 31}
