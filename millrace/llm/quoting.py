@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ._store import Scratch
 
 _MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)")
-#: Turns of roots that are ordered by one task.
+#: Turns of a conversation that are ordered by one task.
 SPAN = 1024
 
 
@@ -73,9 +73,9 @@ def link_quotes(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     """One row for every message of `df`, in reply order within its conversation.
 
     Returns conv_id, turn, role, body (the text without quotes), n_quotes,
-    max_level, parent_conv and parent_turn (the quoted original), path (turns
-    from the thread's first message to this one), position (from 0 in reply
-    order: by path, so that a reply follows what it answers; without quotes, by
+    max_level, parent_conv and parent_turn (the quoted original), root_turn and depth (the thread's first
+    message, and how many replies down this one is), position (from 0 in reply
+    order: a thread follows its first message, by turn, and a reply what it answers; without quotes, by
     turn) and origins (rank, level, conv and turn for each passage, of whatever level,
     that has an original; rank counts a message's passages from 0).
     The passage as a whole, its paragraphs and its lines are looked for among whole messages,
@@ -85,14 +85,15 @@ def link_quotes(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     kind) cover most letters and digits of it; of equal ones that found by the whole, then by
     paragraphs, then the latest turn. The parent is the original of a passage of the
     shallowest level that has any: of the first in the same conversation, else of the first. Only parents of the same conversation and an earlier turn
-    make a path. Messages with the same conversation and turn share one parent and path and
-    are ordered by role and text. Null texts are empty; messages with a null
-    conversation or turn have no parent and are nobody's.
+    make a thread. Different messages with the same conversation and turn share one parent
+    and follow each other by role and text; copies of one message share its position. Null texts are empty; messages with a null
+    conversation or turn have no parent, thread or position and are nobody's.
 
     For each hash the two least conversations are chosen before the join, and the
     latest earlier turn by a running maximum, so that a passage that many messages hold
-    joins to one row. Paths grow by doubling; running maxima and positions are
-    taken in spans of turns with offsets, so that a conversation of any size is
+    joins to one row. Threads are ordered by ranking the list of their messages' begins and ends, by doubling: rows stay two
+    a message whatever a thread's depth, and no two rows of a round join the same one. Running maxima, siblings and positions are
+    taken in spans of turns with offsets, so that a conversation or a message with replies of any number is
     shared by many tasks.
     """
     store = Scratch(df.sparkSession)
@@ -129,25 +130,58 @@ def link_quotes(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     parents = store.keep(origin.groupBy("conv_id", "turn").agg(nearest).select("conv_id", "turn", F.col("p.c").alias("parent_conv"), F.col("p.t").alias("parent_turn")), "parents")
     origins = origin.groupBy("conv_id", "turn", "tag").agg(F.array_sort(F.collect_list(F.struct("rank", "level", F.col("p.c").alias("conv"), F.col("p.t").alias("turn")))).alias("origins"))
 
-    # paths of the messages that have a parent in their conversation; all others stand alone
-    inner = parents.where("parent_conv = conv_id").select("conv_id", "turn", F.array("turn").alias("path"), F.col("parent_turn").alias("up"))
-    paths = store.keep(inner, "paths0")
-    step = 0
-    while paths.where("up IS NOT NULL").take(1):
-        above = paths.select("conv_id", F.col("turn").alias("up"), F.col("path").alias("head"), F.col("up").alias("next"))
-        longer = paths.join(above, ["conv_id", "up"], "left")
+    each = named.select("conv_id", "turn", "role", "tag").distinct()
+    each = store.keep(each.withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "tag"))), "each")
+    turns = each.groupBy("conv_id", "turn").agg(F.max("nth").alias("m"))
+    inner = parents.where("parent_conv = conv_id").select("conv_id", "turn", F.col("parent_turn").alias("up"))
+    threads = store.keep(_ranked(turns, inner, kinds[turn], store), "threads")
+
+    placed = turns.join(threads, ["conv_id", "turn"], "left").select("conv_id", "turn", "m", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), F.coalesce("before", F.lit(0).cast("long")).alias("before"), F.coalesce("size", F.col("m").cast("long")).alias("size"))
+    placed = store.keep(placed.withColumn("part", F.floor(F.col("root") / SPAN)), "placed")
+    roots = placed.where("root = turn")
+    in_part = Window.partitionBy("conv_id", "part").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
+    parts = roots.groupBy("conv_id", "part").agg(F.sum("size").alias("n")).withColumn("shift", F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    begins = roots.select("conv_id", "root", "part", F.sum("size").over(in_part).alias("begin")).join(parts.select("conv_id", "part", "shift"), ["conv_id", "part"])
+    begins = begins.select("conv_id", "root", (F.coalesce("begin", F.lit(0)) + F.coalesce("shift", F.lit(0))).alias("begin"))
+    known = placed.join(begins, ["conv_id", "root"]).select("conv_id", "turn", F.col("root").alias("root_turn"), "depth", (F.col("begin") + F.col("before")).alias("at"))
+    known = known.join(parents, ["conv_id", "turn"], "left").join(each.select("conv_id", "turn", "tag", "nth"), ["conv_id", "turn"])
+    known = store.keep(known.select("conv_id", "turn", "tag", "root_turn", "depth", (F.col("at") + F.col("nth") - 1).cast("long").alias("position"), "parent_conv", "parent_turn").join(origins, ["conv_id", "turn", "tag"], "left"), "known")
+    store.keep_only(said, known)
+    none = F.from_json(F.lit("[]"), origins.schema["origins"].dataType.simpleString())
+    full = said.join(known, ["conv_id", "turn", "tag"], "left")
+    return full.select("conv_id", "turn", "role", "body", "n_quotes", "max_level", "parent_conv", "parent_turn", "root_turn", "depth", "position", F.coalesce("origins", none).alias("origins"))
+
+
+def _ranked(turns: DataFrame, replies: DataFrame, kind: str, store: Scratch) -> DataFrame:
+    """For each turn of a thread with replies: root, depth, before (messages of the thread before it) and size (of the whole thread).
+
+    `turns` has conv_id, turn and m (its messages), `replies` conv_id, turn and up (the turn it answers). The
+    list to rank has a begin and an end of each turn: a begin is followed by that of the first reply, or the own
+    end; an end by the begin of the next reply to the same turn, or the end of that turn. Each round
+    joins an element with the one it points to and takes that one's pointer and sums on.
+    """
+    part = F.floor(F.col("turn") / SPAN)
+    spans = replies.groupBy("conv_id", "up", part.alias("part")).agg(F.min("turn").alias("first")).withColumn("after", F.lead("first").over(Window.partitionBy("conv_id", "up").orderBy("part")))
+    linked = replies.withColumn("part", part).withColumn("near", F.lead("turn").over(Window.partitionBy("conv_id", "up", "part").orderBy("turn")))
+    linked = linked.join(spans, ["conv_id", "up", "part"]).select("conv_id", "turn", "up", F.coalesce("near", "after").alias("sibling"))
+    child = replies.groupBy("conv_id", "up").agg(F.min("turn").alias("child")).withColumnRenamed("up", "turn")
+    nodes = replies.select("conv_id", "turn").union(replies.select("conv_id", "up")).distinct().join(turns, ["conv_id", "turn"], "left").join(linked, ["conv_id", "turn"], "left").join(child, ["conv_id", "turn"], "left")
+
+    def element(ends: bool):
+        to = F.when(F.col("sibling").isNotNull(), F.col("sibling")).otherwise(F.col("up")) if ends else F.coalesce("child", "turn")
+        to_end = (F.col("sibling").isNull() if ends else F.col("child").isNull()).cast("int")
+        n = F.lit(0) if ends else F.coalesce("m", F.lit(1))
+        return F.struct(F.lit(int(ends)).alias("e"), to.cast(kind).alias("to"), to_end.alias("to_e"), n.cast("long").alias("n"), F.lit(-1 if ends else 1).cast("long").alias("deep"))
+
+    both = nodes.select("conv_id", "turn", F.explode(F.array(element(False), element(True))).alias("x")).select("conv_id", "turn", "x.*", F.col("turn").alias("last"))
+    now, step = store.keep(both, "list0"), 0
+    while now.where("to IS NOT NULL").take(1):
+        ahead = now.select("conv_id", F.col("turn").alias("to"), F.col("e").alias("to_e"), F.col("to").alias("next"), F.col("to_e").alias("next_e"), F.col("n").alias("more"), F.col("deep").alias("deeper"), F.col("last").alias("further"))
+        joined = now.join(ahead, ["conv_id", "to", "to_e"], "left")
         step += 1
-        after = store.keep(longer.select("conv_id", "turn", F.concat(F.coalesce("head", F.when(F.col("up").isNotNull(), F.array("up")), F.expr("slice(path, 1, 0)")), F.col("path")).alias("path"), F.col("next").alias("up")), f"paths{step}")
-        store.drop(paths)
-        paths = after
-
-    full = said.join(origins, ["conv_id", "turn", "tag"], "left").join(parents, ["conv_id", "turn"], "left").join(paths.drop("up"), ["conv_id", "turn"], "left")
-    full = full.withColumn("path", F.coalesce("path", F.when(F.col("turn").isNotNull(), F.array("turn")), F.expr("slice(array(turn), 1, 0)")))
-    none = origins.schema["origins"].dataType.simpleString()
-    full = full.withColumn("origins", F.coalesce("origins", F.from_json(F.lit("[]"), none)))
-    full = store.keep(full.select("conv_id", "turn", "role", "tag", "body", "n_quotes", "max_level", "parent_conv", "parent_turn", "path", "origins", F.floor(F.try_element_at("path", F.lit(1)) / SPAN).alias("span")), "full")
-    spans = full.groupBy("conv_id", "span").agg(F.count(F.lit(1)).alias("n"))
-    offset = spans.withColumn("shift", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("conv_id", "span").orderBy("path", "role", "tag"))
-    placed = full.withColumn("rank", rank).alias("f").join(offset.alias("o"), F.col("f.conv_id").eqNullSafe(F.col("o.conv_id")) & F.col("f.span").eqNullSafe(F.col("o.span")))
-    return placed.select("f.conv_id", "f.turn", "f.role", "f.body", "f.n_quotes", "f.max_level", "f.parent_conv", "f.parent_turn", "f.path", (F.col("o.shift") + F.col("f.rank") - 1).cast("long").alias("position"), "f.origins")
+        after = store.keep(joined.select("conv_id", "turn", "e", F.col("next").alias("to"), F.col("next_e").alias("to_e"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("deep") + F.coalesce("deeper", F.lit(0))).alias("deep"), F.coalesce("further", "last").alias("last")), f"list{step}")
+        store.drop(now)
+        now = after
+    begins = now.where("e = 0").select("conv_id", "turn", F.col("last").alias("root"), (-F.col("deep")).alias("depth"), "n")
+    sizes = begins.where("root = turn").select("conv_id", "root", F.col("n").alias("size"))
+    return begins.join(sizes, ["conv_id", "root"]).select("conv_id", "turn", "root", "depth", (F.col("size") - F.col("n")).alias("before"), "size")

@@ -124,8 +124,8 @@ def test_conversations(spark):
     assert len(rows) == len(said)
     got = {(r.conv_id, r.turn): r for r in rows}
     assert [(got[1, t].parent_conv, got[1, t].parent_turn, got[1, t].position, got[1, t].body) for t in (1, 2, 3)] == [(1, 0, 1, "Answer one"), (1, 1, 2, "Reply two"), (1, 0, 3, "Other")]
-    assert got[1, 2].path == [0, 1, 2] and got[1, 2].max_level == 2
-    assert (got[2, 0].parent_conv, got[2, 0].parent_turn, got[2, 0].path) == (1, 1, [0])
+    assert (got[1, 2].root_turn, got[1, 2].depth, got[1, 2].max_level) == (0, 2, 2)
+    assert (got[2, 0].parent_conv, got[2, 0].parent_turn, got[2, 0].root_turn) == (1, 1, 0)
     assert got[2, 1].parent_conv is None and got[None, 1].body == ""
     assert sorted(r.position for r in rows if r.conv_id == 3) == list(range(3000))
     assert all(got[3, i].position == i for i in range(3000))
