@@ -151,21 +151,43 @@ def _calibrated(plans: list, rows: Rows, y: np.ndarray, fold: np.ndarray, import
         part = _descend(rows, some, y, *features)
         for i in np.flatnonzero(fold == f):
             margin[i] = part.margin(rows[i])
-    a, b = 1.0, 0.0
-    # Platt's targets, a little off 0 and 1, so that margins with a gap between the classes don't make a step of it
-    target = np.where(y == 1, 1 - 1 / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
-    for _ in range(100):  # Newton steps of a logistic regression on the margin
-        p = _sigmoid(a * margin + b)
-        g, h = importance * (p - target), importance * p * (1 - p) + 1e-9
-        hess = np.array([[(h * margin * margin).sum() + 1e-3, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-3]])
-        step = np.linalg.solve(hess, np.array([(g * margin).sum() + 1e-3 * (a - 1), g.sum()]))
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
-            break
-    model.scale, model.shift = float(a), float(b)
+    model.scale, model.shift = _platt(margin, y, importance)
     return model
 
 
+def _platt(margin: np.ndarray, y: np.ndarray, importance: np.ndarray, least: float = 0.05) -> tuple[float, float]:
+    """Scale and shift of a logistic regression on the margin, by Newton steps that are halved until the loss falls.
+
+    Targets lie a little off 0 and 1 (Platt), so that a gap between the classes doesn't make a step of it. A scale
+    under `least`, as few rows can give, is set to it, so that a higher margin never scores lower.
+    """
+    target = np.where(y == 1, 1 - 1 / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
+
+    def loss(x: np.ndarray) -> float:
+        z = x[0] * margin + x[1]
+        return float((importance * (np.logaddexp(0, z) - target * z)).sum() + 5e-4 * (x[0] - 1) ** 2)
+
+    def settled(x: np.ndarray, free: list[int]) -> np.ndarray:
+        for _ in range(100):
+            p = _sigmoid(x[0] * margin + x[1])
+            g, h = importance * (p - target), importance * p * (1 - p) + 1e-9
+            grad = np.array([(g * margin).sum() + 1e-3 * (x[0] - 1), g.sum()])[free]
+            hess = np.array([[(h * margin * margin).sum() + 1e-3, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-3]])[np.ix_(free, free)]
+            step = np.zeros(2)
+            step[free] = np.linalg.solve(hess, grad)
+            while loss(x - step) > loss(x) and np.abs(step).max() > 1e-9:
+                step /= 2
+            x = x - step
+            if np.abs(step).max() < 1e-8:
+                break
+        return x
+
+    x = settled(np.array([1.0, 0.0]), [0, 1])
+    if x[0] < least:
+        x = settled(np.array([least, 0.0]), [1])
+    return float(x[0]), float(x[1])
+
+
 def fit(texts: list[str], labels: list[int], weights: list[float] | None = None, fold: list[int] | None = None) -> Model:
     """Fits the classifier on texts at hand; train() does the same with the counts made by executors.
 
@@ -218,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chosen = known.where(draw < F.when(F.col("y") > 0, rate[1]).otherwise(rate[0]))
     fold = F.floor(F.crc32(F.col("id").cast("string").cast("binary")) / 5) % FOLDS
     read = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
-    drawn = store.keep(read.groupBy("id", (F.col("y") > 0).cast("int").alias("y")).agg(F.min("text").alias("text")).withColumn("fold", fold.cast("int")), "drawn")
+    drawn = store.keep(read.groupBy("id", (F.col("y") > 0).cast("int").alias("y")).agg(F.min("text").alias("text")).withColumn("fold", fold.cast("int")), "drawn", 16 * (most_positive + most_negative))
 
     cells = [f"d{k}" for k in range(2 * FOLDS)]
     rows = sorted(((str(r.id), r.y, r.fold) for r in drawn.select("id", "y", "fold").collect()))
