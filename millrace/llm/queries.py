@@ -85,5 +85,24 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+#: All pairs that share a shingle, and what is reachable by links.
+_OP5 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s), f AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, COUNT(*) AS c FROM f a JOIN f b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)),
+b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT doc_id AS a, doc_id AS z FROM n UNION SELECT r.a, b.v FROM r JOIN b ON b.u = r.z)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, MIN(r.z) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL"""
+
+#: All pairs of vectors. The hash tables find a link of the least similarity with probability 0.985, others more surely; they find all links of the small tables.
+_OP9 = """WITH RECURSIVE n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, list_transform(e, lambda q: coalesce(q, 0)) AS e, sqrt(list_sum(list_transform(e, lambda q: q * q))) AS s FROM n WHERE len(list_filter(e, lambda q: q IS NULL OR NOT isfinite(q))) = 0),
+k AS (SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.s > 0 AND b.s > 0 WHERE list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS z FROM n UNION SELECT r.a, k.v FROM r JOIN k ON k.u = r.z)
+SELECT n.vec_id, (SELECT COUNT(*) FROM k WHERE k.u = n.vec_id) AS n_links, MIN(r.z) AS component_id, n.vec_id = MIN(r.z) AS kept FROM n JOIN r ON r.a = n.vec_id GROUP BY n.vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express a query; the others hash, fit a model, or follow rules without a set form, and are tested against brute force."""
+    return {"op5_ngram_join": _OP5, "op9_vector_dedup": _OP9}

@@ -95,6 +95,49 @@ def test_repeated_ids_go_to_many_lots(spark):
     assert spans.where("used <> end OR starts <> n OR end > c").count() == 0
 
 
+def plain_pack(lengths, capacities, attention):
+    """The rule by scanning all open bins: least room left, of equal ones the one whose room came about last."""
+    bins, stamp, rest = [], 0, sum(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        n = lengths[i]
+        open_ = [b for b in bins if b["room"] >= n]
+        if open_:
+            b = min(open_, key=lambda b: (b["room"], -b["stamp"]))
+        else:
+            cost = lambda c: (c + attention * c * c / capacities[-1]) / min(c, rest)
+            b = {"room": min((c for c in capacities if c >= n), key=lambda c: (cost(c), c)), "items": []}
+            bins.append(b)
+        b["items"].append(i)
+        b["room"] -= n
+        stamp += 1
+        b["stamp"] = stamp
+        rest -= n
+    return [(sorted(b["items"]), min(c for c in capacities if c >= sum(lengths[i] for i in b["items"]))) for b in bins]
+
+
+def test_packing_against_a_plain_form_of_the_rule():
+    rng = np.random.default_rng(9)
+    for seed in range(60):
+        capacities = tuple(sorted({int(x) for x in rng.integers(5, 60, rng.integers(1, 5))}))
+        lengths = rng.integers(1, capacities[-1] + 1, rng.integers(1, 80)).tolist()
+        bins, starts, sizes = pack_lot(lengths, capacities, attention=0.25)
+        got = [(sorted(i for i in range(len(lengths)) if bins[i] == b), sizes[b]) for b in range(len(sizes))]
+        assert got == plain_pack(lengths, capacities, 0.25)
+        for b in range(len(sizes)):
+            at = 0
+            for i in sorted((i for i in range(len(lengths)) if bins[i] == b), key=lambda i: starts[i]):
+                assert starts[i] == at
+                at += lengths[i]
+
+
+def test_packing_takes_clashing_names_and_null_ids(spark):
+    rows = [(None, 700), (None, 700), (1, None), (2, -5), (3, 0), (4, 50_000), (4, 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, length long").withColumns({c: F.lit(1) for c in ("n", "piece", "lot", "copies", "portion", "start", "capacity", "bin_id")})
+    got = pack(df).collect()
+    assert sum(r.length for r in got) == 101_400 and sorted(r.piece for r in got if r.doc_id == 4) == [0, 0, 1, 1, 2, 2, 3, 3]
+    assert all((r.bin_id is None) == (r.length == 0) for r in got) and sum(r.doc_id is None for r in got) == 2
+
+
 def test_best_fit_takes_the_tightest_room():
     bins, starts, sizes = pack_lot([7, 6, 3, 2, 2], (4, 10), attention=0.0)
     assert [bins[0], bins[2]] == [bins[0], bins[0]] and starts[2] == 7 and sizes[bins[0]] == 10
