@@ -31,6 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own
 
 
+#: Rows for which a small table gets a file, however many partitions the session's shuffles have.
+ROWS_A_FILE = 50_000
+
+
 class Scratch:
     """Written tables that cut lineage and outlive executors.
 
@@ -46,10 +50,14 @@ class Scratch:
         for made in _watching:
             made.append(self)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """`rows`, where known, says how many there are about: the table gets a file for every ROWS_A_FILE of them at most."""
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        if rows is not None:
+            df = df.coalesce(1 + rows // ROWS_A_FILE)
+        # no marker file: a table that keep() has returned is whole
+        df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.live.add(path)
         out._millrace_path = path

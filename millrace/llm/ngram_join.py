@@ -416,22 +416,24 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
     words = ", ".join(f"{w} long" for w in WORDS)
     sketch = store.keep(docs.mapInArrow(_sketch(width), f"doc_id long, h long, n_shingles long, key long, parity binary, {words}"), "sketch")
+    n_docs = sketch.count()
     known = sketch.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = store.keep(
-        known.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.max("n_shingles").alias("n"), F.max("parity").alias("parity"), *(F.max(w).alias(w) for w in WORDS)).withColumnRenamed("key", "u"), "classes"
+        known.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.max("n_shingles").alias("n"), F.max("parity").alias("parity"), *(F.max(w).alias(w) for w in WORDS)).withColumnRenamed("key", "u"), "classes", n_docs
     )
 
     sigs = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_signatures(width, percent), "sig long, key long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = store.keep(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long").withColumnRenamed("key", "u"), "met")
+    n_met = met.count()
     _settle(spark)
     # a group's first is the class that shares most of its signatures: the text that others are copies of
-    sharing = store.keep(met.groupBy("u").agg(F.count(F.lit(1)).alias("d")).join(classes, "u").select("u", (F.col("d") / F.col("n")).alias("share"), "n", *WORDS), "sharing")
+    sharing = store.keep(met.groupBy("u").agg(F.count(F.lit(1)).alias("d")).join(classes, "u").select("u", (F.col("d") / F.col("n")).alias("share"), "n", *WORDS), "sharing", n_docs)
     order = Window.partitionBy("sig").orderBy(F.desc("share"), "u")
     ranked = met.join(sharing, "u").select("sig", (F.row_number().over(order) - 1).cast("int").alias("rank"), "u", "n", *WORDS, F.first(F.struct("u", "n", *WORDS)).over(order).alias("p"))
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("p")[w])) for w in WORDS), F.lit(0))
     fit = (F.col("u") != F.col("p.u")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("p.n")))
-    shared = store.keep(ranked.select("sig", "rank", "u", F.when(fit, F.col("p.u")).alias("first")), "shared")
+    shared = store.keep(ranked.select("sig", "rank", "u", F.when(fit, F.col("p.u")).alias("first")), "shared", n_met)
     store.drop(met)
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -445,52 +447,55 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         at = ids.join(classes.select("u", "rep"), "u").select("u", "rep.doc_id", "rep.h")
         return _among(docs, at).join(at, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("u", "text")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        known_texts = store.keep(texts_of(pairs.select("u").union(pairs.select("v")).distinct()), name + "-texts")
+    def verified(pairs: DataFrame, n: int, name: str) -> DataFrame:
+        """Those of n pairs whose texts are linked."""
+        known_texts = store.keep(texts_of(pairs.select("u").union(pairs.select("v")).distinct()), name + "-texts", 20 * n)
         counts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("salts"))
         salted = pairs.join(counts, "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")))
         member = salted.select("u", "salt", "v").join(known_texts.withColumnRenamed("u", "v"), "v").select("u", "salt", "v", "text")
         pivot = counts.join(known_texts, "u").select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("v"), "text")
         dealt = member.union(pivot).repartition(parts, "u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
-        out = store.keep(dealt.mapInArrow(_compare(width, percent), "u long, v long"), name)
+        out = store.keep(dealt.mapInArrow(_compare(width, percent), "u long, v long"), name, 20 * n)
         store.drop(known_texts)
         return out
 
-    def opened(rest: DataFrame, name: str) -> DataFrame:
-        """Rows of the groups with members of several components, with these and the group's size."""
+    def opened(rest: DataFrame, n: int, name: str) -> DataFrame:
+        """Of n rows those of the groups with members of several components, with these and the group's size."""
         label = rest.join(comp.withColumnRenamed("node", "u"), "u", "left").select("sig", "rank", "u", F.coalesce("component", "u").alias("c"))
         open_ = label.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1").select("sig", "m")
-        return store.keep(label.join(open_, "sig"), name)
+        return store.keep(label.join(open_, "sig"), name, n)
 
     firsts = shared.where("first IS NOT NULL").select(F.least("u", "first").alias("u"), F.greatest("u", "first").alias("v")).distinct()
-    tested = store.keep(near(firsts), "pairs0")
-    links = verified(tested, "links0")
-    comp = store.keep(connected_components(links, store), "comp0")
+    tested = store.keep(near(firsts), "pairs0", n_met)
+    n_tested = tested.count()
+    links = verified(tested, n_tested, "links0")
+    comp = store.keep(connected_components(links, store, n_tested), "comp0", n_tested)
     _settle(spark)
 
     # the first of a group has met all others of it
-    left = opened(shared.where("rank > 0").select("sig", "rank", "u"), "open")
+    left = opened(shared.where("rank > 0").select("sig", "rank", "u"), n_met, "open")
     store.drop(shared)
-    crowd = store.keep(left.where(F.col("m") > GROUP).select("u").distinct(), "crowd")
-    rest = left.where(F.col("m") <= GROUP).select("sig", "rank", "u")
-    if crowd.take(1):
+    crowd = store.keep(left.where(F.col("m") > GROUP).select("u").distinct(), "crowd", n_docs)
+    rest, n_crowd = left.where(F.col("m") <= GROUP).select("sig", "rank", "u"), crowd.count()
+    if n_crowd:
         at = crowd.join(classes, "u").select("rep.doc_id", "rep.h")
         crowded = store.keep(_among(docs.where("doc_id IS NOT NULL"), at).select("text"), "crowded")
-        counts = store.keep(crowded.mapInArrow(_counted(width), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP), "counts")
+        counts = store.keep(crowded.mapInArrow(_counted(width), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP), "counts", 20 * n_crowd)
         frequent = spark.sparkContext.broadcast(_frequent(counts))
         pairs = crowded.mapInArrow(_prefixes(width, percent, frequent), "sig long, key long").withColumnRenamed("key", "u").join(crowd, "u", "left_semi")
         again = pairs.select("sig", F.col("u").alias("key")).repartition(parts, "sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long").withColumnRenamed("key", "u")
         rerank = again.join(sharing, "u").select("sig", F.row_number().over(order).cast("int").alias("rank"), "u")
-        rest = rest.union(store.keep(rerank, "again"))
+        rest = rest.union(store.keep(rerank, "again", 20 * n_crowd))
         store.drop(crowded, counts)
     store.drop(crowd)
 
     low, step = 0, max(GROUP, FIRST_PIVOTS)  # ranks up to `low` have met all others of their groups
+    n_left = n_met
     while True:
-        now = opened(rest, f"open{low}")
+        now = opened(rest, n_left, f"open{low}")
         store.drop(left)
-        left = now
-        if not left.take(1):
+        left, n_left = now, now.count()
+        if not n_left:
             break
         wide = left.join(classes.select("u", "n", "parity"), "u").withColumn("salts", F.ceil(F.col("m") / PARTNERS))
         columns = [F.col("rank").cast("long").alias("rank"), "u", "c", "n", "parity"]
@@ -499,13 +504,14 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         dealt = member.union(pivot).repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "member")
         allowed = dealt.mapInArrow(_across(percent), "u long, v long").distinct()
         low += step
-        pairs = store.keep(allowed.join(tested, ["u", "v"], "left_anti"), f"pairs{low}")
-        if pairs.take(1):
-            found = verified(pairs, f"links{low}")
-            tested = store.keep(tested.union(pairs), f"tested{low}")
+        pairs = store.keep(allowed.join(tested, ["u", "v"], "left_anti"), f"pairs{low}", n_left)
+        if n := pairs.count():
+            found = verified(pairs, n, f"links{low}")
+            n_tested += n
+            tested = store.keep(tested.union(pairs), f"tested{low}", n_tested)
             if found.take(1):
-                links = store.keep(links.union(found), f"all{low}")
-                comp = store.keep(connected_components(links, store), f"comp{low}")
+                links = store.keep(links.union(found), f"all{low}", n_tested)
+                comp = store.keep(connected_components(links, store, n_tested), f"comp{low}", n_tested)
         rest = left.where(F.col("rank") > low).select("sig", "rank", "u")
         _settle(spark)
         step = min(8 * step, PIVOTS)
@@ -513,6 +519,6 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     linked = comp.join(classes.select(F.col("u").alias("node"), "rep.doc_id"), "node")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
     by_key = comp.join(least, "component").select(F.col("node").alias("u"), "least")
-    by_key = store.keep(classes.join(by_key, "u", "left").select(F.col("u").alias("key"), F.coalesce("least", "rep.doc_id").alias("least")), "by-key")
+    by_key = store.keep(classes.join(by_key, "u", "left").select(F.col("u").alias("key"), F.coalesce("least", "rep.doc_id").alias("least")), "by-key", n_docs)
     store.keep_only(sketch, by_key)
     return sketch.join(by_key, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))

@@ -145,12 +145,12 @@ def robust_estimates(rows: DataFrame, store: Scratch, names: list[str], share: f
     p = len(names)
     xs = range(p)
     n_groups = rows.select("g").distinct().count()
-    medians = store.keep(rows.groupBy("g").agg(*[F.percentile_approx(f"x_{i}", 0.5, 2000).alias(f"m_{i}") for i in xs]), "medians")
+    medians = store.keep(rows.groupBy("g").agg(*[F.percentile_approx(f"x_{i}", 0.5, 2000).alias(f"m_{i}") for i in xs]), "medians", n_groups)
     spread = rows.join(small(medians, n_groups), "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")), 0.5, 2000).alias(f"s_{i}") for i in xs])
     start = medians.join(small(spread, n_groups), "g")
     start = start.withColumns({f"c_{i}_{j}": (1.4826 * F.col(f"s_{i}")) ** 2 if i == j else F.lit(0.0) for i in xs for j in range(i + 1)})
     log_det = sum((2 * F.log(f"l_{i}_{i}") for i in xs), F.lit(0.0)).alias("log_det")
-    now = store.keep(_factor(start, names).select("*", log_det), "start")
+    now = store.keep(_factor(start, names).select("*", log_det), "start", n_groups)
     store.drop(medians)
     scale = share / chi2_cdf(chi2_quantile(share, p), p + 2)
     for step in range(most_steps):
@@ -160,13 +160,13 @@ def robust_estimates(rows: DataFrame, store: Scratch, names: list[str], share: f
         cut = store.keep(
             counts.withColumns({"below": F.expr(f"sum(n) OVER ({order} ROWS UNBOUNDED PRECEDING)"), "n_all": F.expr("sum(n) OVER (PARTITION BY g)")})
             .where(F.col("below") >= share * F.col("n_all")).groupBy("g").agg(F.min("bin").alias("cut")),
-            "cut",
+            "cut", n_groups,
         )
         near = far.join(small(cut, n_groups), "g").where("bin <= cut")
         sums = [F.avg(f"x_{i}").alias(f"m_{i}") for i in xs] + [F.avg(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"q_{i}_{j}") for i in xs for j in range(i + 1)]
         est = near.groupBy("g").agg(*sums)
         est = est.withColumns({f"c_{i}_{j}": scale * (F.col(f"q_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) for i in xs for j in range(i + 1)})
-        after = store.keep(_factor(est, names).select("*", log_det), f"step{step}")
+        after = store.keep(_factor(est, names).select("*", log_det), f"step{step}", n_groups)
         moved = now.select("g", F.col("log_det").alias("was")).join(small(after, n_groups), "g").agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
         store.drop(now, cut)
         now = after
@@ -222,11 +222,11 @@ def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     stats = store.keep(stats.withColumns({f"x_{i}": VECTOR[n][0]().cast("double") for i, n in enumerate(names)}), "stats")
     good = stats.where("NOT base_failed")
     by_pair = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    pairs = store.keep(by_pair.withColumn("n_lang", F.sum("n").over(_by("lang"))), "pairs")
+    pairs = store.keep(by_pair.withColumn("n_lang", F.sum("n").over(_by("lang"))), "pairs", 0)
     n_pairs = pairs.count()
     levels = F.array(F.to_json(F.array("lang", "source")), F.to_json(F.array("lang")), F.lit("[]"))
     estimates = robust_estimates(good.select(F.explode(levels).alias("g"), *(f"x_{i}" for i in range(len(names)))), store, names, share)
-    judge = store.keep(_pooled(pairs, estimates, n_pairs, names, prior_rows), "judge")
+    judge = store.keep(_pooled(pairs, estimates, n_pairs, names, prior_rows), "judge", n_pairs)
     store.keep_only(stats, judge)
     found = _distance(good.join(small(judge, n_pairs), ["lang", "source"]), len(names))
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(["row"] if carry else [])]

@@ -175,11 +175,12 @@ def _ranked(turns: DataFrame, replies: DataFrame, kind: str, store: Scratch) ->
 
     both = nodes.select("conv_id", "turn", F.explode(F.array(element(False), element(True))).alias("x")).select("conv_id", "turn", "x.*", F.col("turn").alias("last"))
     now, step = store.keep(both, "list0"), 0
+    n = now.count()
     while now.where("to IS NOT NULL").take(1):
         ahead = now.select("conv_id", F.col("turn").alias("to"), F.col("e").alias("to_e"), F.col("to").alias("next"), F.col("to_e").alias("next_e"), F.col("n").alias("more"), F.col("deep").alias("deeper"), F.col("last").alias("further"))
         joined = now.join(ahead, ["conv_id", "to", "to_e"], "left")
         step += 1
-        after = store.keep(joined.select("conv_id", "turn", "e", F.col("next").alias("to"), F.col("next_e").alias("to_e"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("deep") + F.coalesce("deeper", F.lit(0))).alias("deep"), F.coalesce("further", "last").alias("last")), f"list{step}")
+        after = store.keep(joined.select("conv_id", "turn", "e", F.col("next").alias("to"), F.col("next_e").alias("to_e"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("deep") + F.coalesce("deeper", F.lit(0))).alias("deep"), F.coalesce("further", "last").alias("last")), f"list{step}", n)
         store.drop(now)
         now = after
     begins = now.where("e = 0").select("conv_id", "turn", F.col("last").alias("root"), (-F.col("deep")).alias("depth"), "n")

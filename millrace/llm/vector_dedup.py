@@ -92,7 +92,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     usable = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
     classes = store.keep(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("v")), "classes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts, edges = [], []
+    counts, edges, n_edges = [], [], 0
     for dim, n in sorted((r.dim, r.n) for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()):
         projections, tables = plan(n, least, recall)
         own = classes.where(F.col("dim") == dim)
@@ -183,12 +183,13 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
         store.drop(placed)
         counts.append(found.where("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links")))
         edges.append(found.where("v IS NOT NULL").select("u", "v"))
+        n_edges += edges[-1].count()
     if not counts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     links, every = counts[0], edges[0]
     for c, e in zip(counts[1:], edges[1:]):
         links, every = links.union(c), every.union(e)
-    comp = connected_components(every, store)
+    comp = connected_components(every, store, n_edges)
     known = classes.join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     known = store.keep(known.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
     joined = rows.join(known, "v", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("n_links")).alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"))
