@@ -22,6 +22,8 @@ LIGHT_SHARE = 16
 PARTNERS = 2048
 #: Open members up to which a group's pairs are tested each; members of larger ones are brought together by prefixes.
 GROUP = 8
+#: Members of a group that are ranked together, by one task.
+CELL = 4096
 #: Pivots of a group that the first round tests, and that one round tests at most; further rounds take the rest.
 FIRST_PIVOTS, PIVOTS = 32, 1024
 #: 64-bit words of the short sketch that travels with a signature.
@@ -208,28 +210,44 @@ def _signatures(width: int, percent: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by sig and key: those of signatures that several keys have, each key once."""
-    last_sig = last_key = None
-    alone = False  # whether the last key is its signature's only one as yet, and so not given out
-    for batch in batches:
-        sig, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-        if len(sig) and last_sig is not None:
-            new[0] = sig[0] != last_sig or key[0] != last_key
-        sig, key = sig[new], key[new]
-        if not len(sig):
-            continue
-        same = np.zeros(len(sig) + 1, bool)  # whether a row has the signature of the row before
-        same[1:-1] = sig[1:] == sig[:-1]
-        same[0] = last_sig is not None and sig[0] == last_sig
-        out = same[:-1] | same[1:]
-        if same[0] and alone:
-            yield pa.record_batch([pa.array([last_sig]), pa.array([last_key])], names=["sig", "key"])
-        if out.any():
-            yield pa.record_batch([pa.array(sig[out]), pa.array(key[out])], names=["sig", "key"])
-        last_sig, last_key, alone = sig[-1], key[-1], not same[-2]
+def _shared(cell: int):
+    """Of rows sorted by sig and key: those of signatures that several keys have, each key once, with the cell of `cell` members it stands in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_sig = last_key = None
+        alone = False  # whether the last key is its signature's only one as yet, and so not given out
+        run_sig, held = None, 0  # the signature given out last, and how many of its keys
+
+        def given(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+            nonlocal run_sig, held
+            starts = np.append(0, np.flatnonzero(sig[1:] != sig[:-1]) + 1)
+            lens = np.diff(np.append(starts, len(sig)))
+            nth = np.arange(len(sig)) - np.repeat(starts, lens)
+            if run_sig == sig[0]:
+                nth[: lens[0]] += held
+            run_sig, held = sig[-1], int(nth[-1]) + 1
+            return pa.record_batch([pa.array(sig), pa.array((nth // cell).astype(np.int32)), pa.array(key)], names=["sig", "cell", "key"])
+
+        for batch in batches:
+            sig, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+            if len(sig) and last_sig is not None:
+                new[0] = sig[0] != last_sig or key[0] != last_key
+            sig, key = sig[new], key[new]
+            if not len(sig):
+                continue
+            same = np.zeros(len(sig) + 1, bool)  # whether a row has the signature of the row before
+            same[1:-1] = sig[1:] == sig[:-1]
+            same[0] = last_sig is not None and sig[0] == last_sig
+            out = same[:-1] | same[1:]
+            if same[0] and alone:
+                yield given(np.array([last_sig]), np.array([last_key]))
+            if out.any():
+                yield given(sig[out], key[out])
+            last_sig, last_key, alone = sig[-1], key[-1], not same[-2]
+
+    return run
 
 
 def _counted(width: int):
@@ -398,9 +416,9 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     be an integer; a row whose doc_id is null keeps a null component_id and links
     nothing. An empty table gives no rows; other columns are not read.
 
-    Signatures are grouped by a sort on (signature, class). In each group the class that
+    Signatures are grouped by a sort on (signature, class). In each group, and in each cell of CELL members of a large one, the class that
     shares most of its signatures comes first, and every other one is compared with it: by
-    size and short sketch as the group is ranked, then by the full sketch, then by the texts. Links
+    size and short sketch as the cell is ranked, then by the full sketch, then by the texts. Links
     found so far are closed. Of the groups whose later members are still of several components,
     those of at most GROUP members have their pairs tested each by size and full sketch, where they are read. The
     members of larger ones, mostly strangers that share a frequent passage, are grouped
@@ -424,16 +442,17 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     sigs = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_signatures(width, percent), "sig long, key long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = store.keep(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long").withColumnRenamed("key", "u"), "met")
+    met = store.keep(sigs.repartition(parts, "sig").sortWithinPartitions("sig", "key").mapInArrow(_shared(CELL), "sig long, cell int, key long").withColumnRenamed("key", "u"), "met")
     n_met = met.count()
     _settle(spark)
-    # a group's first is the class that shares most of its signatures: the text that others are copies of
+    # a cell's first is the class that shares most of its signatures: the text that others are copies of
     sharing = store.keep(met.groupBy("u").agg(F.count(F.lit(1)).alias("d")).join(classes, "u").select("u", (F.col("d") / F.col("n")).alias("share"), "n", *WORDS), "sharing", n_docs)
-    order = Window.partitionBy("sig").orderBy(F.desc("share"), "u")
-    ranked = met.join(sharing, "u").select("sig", (F.row_number().over(order) - 1).cast("int").alias("rank"), "u", "n", *WORDS, F.first(F.struct("u", "n", *WORDS)).over(order).alias("p"))
+    order = Window.partitionBy("sig", "cell").orderBy(F.desc("share"), "u")
+    rank = (F.row_number().over(order) + F.col("cell").cast("long") * CELL).alias("rank")
+    ranked = met.join(sharing, "u").select("sig", "cell", rank, "u", "n", *WORDS, F.first(F.struct("u", "n", *WORDS)).over(order).alias("p"))
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("p")[w])) for w in WORDS), F.lit(0))
     fit = (F.col("u") != F.col("p.u")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("p.n")))
-    shared = store.keep(ranked.select("sig", "rank", "u", F.when(fit, F.col("p.u")).alias("first")), "shared", n_met)
+    shared = store.keep(ranked.select("sig", "cell", "rank", "u", F.when(fit, F.col("p.u")).alias("first")), "shared", n_met)
     store.drop(met)
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -472,8 +491,10 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     comp = store.keep(connected_components(links, store, n_tested), "comp0", n_tested)
     _settle(spark)
 
-    # the first of a group has met all others of it
-    left = opened(shared.where("rank > 0").select("sig", "rank", "u"), n_met, "open")
+    # the first of a group of one cell has met all others of it
+    several = shared.where("cell > 0").select("sig").distinct()
+    rest = shared.where("rank > 1").join(several, "sig", "left_anti").union(shared.join(several, "sig", "left_semi"))
+    left = opened(rest.select("sig", "rank", "u"), n_met, "open")
     store.drop(shared)
     crowd = store.keep(left.where(F.col("m") > GROUP).select("u").distinct(), "crowd", n_docs)
     rest, n_crowd = left.where(F.col("m") <= GROUP).select("sig", "rank", "u"), crowd.count()
@@ -483,8 +504,8 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         counts = store.keep(crowded.mapInArrow(_counted(width), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP), "counts", 20 * n_crowd)
         frequent = spark.sparkContext.broadcast(_frequent(counts))
         pairs = crowded.mapInArrow(_prefixes(width, percent, frequent), "sig long, key long").withColumnRenamed("key", "u").join(crowd, "u", "left_semi")
-        again = pairs.select("sig", F.col("u").alias("key")).repartition(parts, "sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig long, key long").withColumnRenamed("key", "u")
-        rerank = again.join(sharing, "u").select("sig", F.row_number().over(order).cast("int").alias("rank"), "u")
+        again = pairs.select("sig", F.col("u").alias("key")).repartition(parts, "sig").sortWithinPartitions("sig", "key").mapInArrow(_shared(CELL), "sig long, cell int, key long").withColumnRenamed("key", "u")
+        rerank = again.join(sharing, "u").select("sig", rank, "u")
         rest = rest.union(store.keep(rerank, "again", 20 * n_crowd))
         store.drop(crowded, counts)
     store.drop(crowd)
@@ -498,7 +519,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         if not n_left:
             break
         wide = left.join(classes.select("u", "n", "parity"), "u").withColumn("salts", F.ceil(F.col("m") / PARTNERS))
-        columns = [F.col("rank").cast("long").alias("rank"), "u", "c", "n", "parity"]
+        columns = ["rank", "u", "c", "n", "parity"]
         member = wide.select("sig", F.pmod(F.xxhash64("u"), "salts").alias("salt"), F.lit(1).cast("long").alias("member"), *columns)
         pivot = wide.where(F.col("rank") <= low + step).select("sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).cast("long").alias("member"), *columns)
         dealt = member.union(pivot).repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "member")

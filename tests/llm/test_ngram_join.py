@@ -44,6 +44,7 @@ def family(rng, words, start, n, edits):
 
 def test_against_brute_force(docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "PARTNERS", 5)  # several tasks for one pivot
+    monkeypatch.setattr(ngram_join, "CELL", 4)  # groups of several cells
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     rows = [r for f in range(30) for r in family(rng, words, 100 * f + 10, rng.randint(2, 14), 5)]
@@ -84,6 +85,20 @@ def crowd(rng, words, start, n, shared, own):
             yield start + 2 * i + 1, " ".join(text), "en", "s"
 
 
+def test_cells_of_shared_signatures():
+    """Whatever the batches: each key of a signature that has several once, and its number in the signature by cells."""
+    rng = random.Random(1)
+    rows = sorted((rng.choice([1, 2, 3, 5, 9, 9, 9]), rng.randrange(20)) for _ in range(150)) + [(11, 4), (11, 4), (12, 1), (12, 2)]
+    keys = {}
+    for sig, key in rows:
+        if key not in keys.setdefault(sig, []):
+            keys[sig].append(key)
+    want = [(sig, i // 3, key) for sig, held in keys.items() if len(held) > 1 for i, key in enumerate(held)]
+    for size in (1, 2, 7, 1000):
+        batches = (pa.record_batch([pa.array([r[0] for r in part]), pa.array([r[1] for r in part])], names=["sig", "key"]) for part in (rows[i : i + size] for i in range(0, len(rows), size)))
+        assert [tuple(r.values()) for b in ngram_join._shared(3)(batches) for r in b.to_pylist()] == want
+
+
 @pytest.mark.parametrize("most_bits", [1 << 24, 1 << 15])
 def test_large_groups_of_strangers(docs, monkeypatch, most_bits):
     """Members of groups over GROUP meet by prefixes, whether frequent shingles are known to the bit or only the most frequent ones."""
