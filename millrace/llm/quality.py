@@ -133,11 +133,12 @@ def _distance(rows: DataFrame, p: int) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(p)), F.lit(0.0)))
 
 
-def robust_estimates(rows: DataFrame, store: Scratch, names: list[str], share: float = 0.75, most_steps: int = 12, settled: float = 0.01) -> DataFrame:
+def robust_estimates(rows: DataFrame, store: Scratch, names: list[str], prior_rows: float, share: float = 0.75, most_steps: int = 8, settled: float = 0.02) -> DataFrame:
     """The minimum covariance determinant of each group of `rows` (g, x_0 .. x_{p-1}): g, means m_i, covariances c_i_j and log_det.
 
     Starts from each group's medians and median deviations and takes concentration steps: distances, the share of rows with the least of them,
-    their mean and covariance, until no group's log determinant changes by more than `settled`, or `most_steps`. A step is one aggregate by group with partial
+    their mean and covariance, until no group's log determinant changes by more than `settled` (a group of n rows counts
+    by n^2 / (n^2 + prior_rows^2), as in the mixture), or `most_steps`. A step is one aggregate by group with partial
     sums; the cut comes from a histogram of the logarithm of the distances, so
     that no group's rows are ever brought together. The estimates have one row
     per group.
@@ -145,13 +146,12 @@ def robust_estimates(rows: DataFrame, store: Scratch, names: list[str], share: f
     p = len(names)
     xs = range(p)
     n_groups = rows.select("g").distinct().count()
-    medians = store.keep(rows.groupBy("g").agg(*[F.percentile_approx(f"x_{i}", 0.5, 2000).alias(f"m_{i}") for i in xs]), "medians", n_groups)
+    medians = store.keep(rows.groupBy("g").agg(*[F.percentile_approx(f"x_{i}", 0.5, 2000).alias(f"m_{i}") for i in xs], F.count(F.lit(1)).alias("n_rows")), "medians", n_groups)
     spread = rows.join(small(medians, n_groups), "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")), 0.5, 2000).alias(f"s_{i}") for i in xs])
     start = medians.join(small(spread, n_groups), "g")
     start = start.withColumns({f"c_{i}_{j}": (1.4826 * F.col(f"s_{i}")) ** 2 if i == j else F.lit(0.0) for i in xs for j in range(i + 1)})
     log_det = sum((2 * F.log(f"l_{i}_{i}") for i in xs), F.lit(0.0)).alias("log_det")
-    now = store.keep(_factor(start, names).select("*", log_det), "start", n_groups)
-    store.drop(medians)
+    now, sizes = store.keep(_factor(start, names).select("*", log_det), "start", n_groups), medians.select("g", "n_rows")
     scale = share / chi2_cdf(chi2_quantile(share, p), p + 2)
     for step in range(most_steps):
         far = _distance(rows.join(small(now, n_groups), "g"), p).withColumn("bin", F.floor(F.log(F.greatest(F.col("d2"), F.lit(1e-6))) * BINS_PER_E).cast("int"))
@@ -167,7 +167,8 @@ def robust_estimates(rows: DataFrame, store: Scratch, names: list[str], share: f
         est = near.groupBy("g").agg(*sums)
         est = est.withColumns({f"c_{i}_{j}": scale * (F.col(f"q_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) for i in xs for j in range(i + 1)})
         after = store.keep(_factor(est, names).select("*", log_det), f"step{step}", n_groups)
-        moved = now.select("g", F.col("log_det").alias("was")).join(small(after, n_groups), "g").agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
+        change = F.abs(F.col("log_det") - F.col("was")) / (1 + (prior_rows / F.col("n_rows")) ** 2)
+        moved = now.select("g", F.col("log_det").alias("was")).join(small(after, n_groups), "g").join(small(sizes, n_groups), "g").agg(F.max(change)).first()[0]
         store.drop(now, cut)
         now = after
         if moved is None or moved <= settled:
@@ -225,7 +226,7 @@ def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     pairs = store.keep(by_pair.withColumn("n_lang", F.sum("n").over(_by("lang"))), "pairs", 0)
     n_pairs = pairs.count()
     levels = F.array(F.to_json(F.array("lang", "source")), F.to_json(F.array("lang")), F.lit("[]"))
-    estimates = robust_estimates(good.select(F.explode(levels).alias("g"), *(f"x_{i}" for i in range(len(names)))), store, names, share)
+    estimates = robust_estimates(good.select(F.explode(levels).alias("g"), *(f"x_{i}" for i in range(len(names)))), store, names, prior_rows, share)
     judge = store.keep(_pooled(pairs, estimates, n_pairs, names, prior_rows), "judge", n_pairs)
     store.keep_only(stats, judge)
     found = _distance(good.join(small(judge, n_pairs), ["lang", "source"]), len(names))
