@@ -31,7 +31,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--path", help="what file names in the plan begin with, in place of its own path setting")
     parser.add_argument("--master", help="Spark's master, where no session is set up otherwise")
     parser.add_argument("--tree", action="store_true", help="print the operator tree after the rows")
-    parser.add_argument("--profile", action="store_true", help="and run it up to each cycle_accountant for rows and time")
+    parser.add_argument("--profile", action="store_true", help="and run it up to each cycle_accountant or printer_perfcount for rows, time and task counters")
     given = parser.parse_args(args)
     with open(given.plan, encoding="utf-8") as f:
         text = f.read()
@@ -50,7 +50,10 @@ def main(args: list[str] | None = None) -> int:
     for name, seen in plan.observations.items():
         print(f"{name}: {seen.get['rows']} rows", file=sys.stderr)
     if given.tree or given.profile:
-        print(plan.tree(plan.profile() if given.profile else None))
+        measured = plan.profile() if given.profile else []
+        print(plan.tree(measured))
+        if measured:
+            print(f"Max Memory (bytes): {max(m.most_memory for m in measured)}")
     return 0
 
 

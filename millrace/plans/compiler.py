@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import time
+import uuid
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -66,12 +67,37 @@ class Node:
 
 @dataclass
 class Measure:
-    """What running a plan up to a node took, and of that the node and those below it down to the next measured ones."""
+    """What running a plan up to a node took, and of that the node and those below it down to the next measured ones; and Spark's task counters."""
 
     name: str
     rows: int
     seconds: float
     own_seconds: float
+    cpu_seconds: float = 0.0
+    read_bytes: int = 0
+    shuffled_bytes: int = 0
+    spilled_bytes: int = 0
+    most_memory: int = 0
+
+    def __str__(self) -> str:
+        counters = f"{self.cpu_seconds:.3f} s of CPU, {self.read_bytes} bytes read, {self.shuffled_bytes} shuffled, {self.spilled_bytes} spilled, {self.most_memory} in memory"
+        return f"{self.rows} rows, {self.seconds:.3f} s, {self.own_seconds:.3f} s of its own, {counters}"
+
+
+def _counters(spark: SparkSession, group: str) -> dict:
+    """Task counters of the stages that ran for a job group; memory is the most that a stage's tasks held at once by Spark's account."""
+    context, tracker = spark.sparkContext._jsc.sc(), spark.sparkContext.statusTracker()
+    context.listenerBus().waitUntilEmpty(10_000)
+    stages = {i for job in tracker.getJobIdsForGroup(group) if (info := tracker.getJobInfo(job)) for i in info.stageIds}
+    ran = [context.statusStore().lastStageAttempt(i) for i in sorted(stages)]
+    ran = [x for x in ran if x.status().toString() == "COMPLETE"]
+    return {
+        "cpu_seconds": sum(x.executorCpuTime() for x in ran) / 1e9,
+        "read_bytes": sum(x.inputBytes() for x in ran),
+        "shuffled_bytes": sum(x.shuffleWriteBytes() for x in ran),
+        "spilled_bytes": sum(x.diskBytesSpilled() for x in ran),
+        "most_memory": max((x.peakExecutionMemory() for x in ran), default=0),
+    }
 
 
 @dataclass
@@ -98,28 +124,31 @@ class Plan:
 
     def tree(self, measured: list[Measure] | None = None) -> str:
         """The operator tree with each node's type and columns, and what profile() measured."""
-        known = {m.name: f"  {m.rows} rows, {m.seconds:.3f} s, {m.own_seconds:.3f} s of its own" for m in measured or []}
+        known = {m.name: f"  {m}" for m in measured or []}
         kinds = lambda n: ", ".join(f.kind for f in n.rel.fields)
         return "\n".join(f"{'  ' * n.depth}{n.name} ({n.kind}): {kinds(n)}{known.get(n.name, '')}" for n in self.nodes)
 
     def profile(self) -> list[Measure]:
-        """Runs the plan up to each cycle_accountant (up to every node, if it has none) and takes rows and time.
+        """Runs the plan up to each cycle_accountant or printer_perfcount (up to every node, if it has none) and takes rows, time and task counters.
 
         Operators of a stage run fused, so a node has no time of its own to be read off a single run; each
         measured node is run by itself, and what the measured ones below it took is subtracted.
         """
-        chosen = [n for n in self.nodes if n.kind == "cycle_accountant"] or self.nodes
+        chosen = [n for n in self.nodes if n.kind in ("cycle_accountant", "printer_perfcount")] or self.nodes
+        spark = self.df.sparkSession
         out: list[Measure] = []
         took: list[tuple[Node, float]] = []
         for n in reversed(chosen):  # nodes below come later in the list
-            seen = Observation()
+            seen, group = Observation(), f"millrace-{uuid.uuid4().hex}"
+            spark.sparkContext.setJobGroup(group, f"profile of {n.name}")
             began = time.perf_counter()
             n.rel.rows().observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
             seconds, below = time.perf_counter() - began, 0.0
+            spark.sparkContext.setJobGroup(None, None)
             while took and took[-1][0].depth > n.depth:
                 below += took.pop()[1]
             took.append((n, seconds))
-            out.append(Measure(n.name, seen.get["rows"], seconds, max(0.0, seconds - below)))
+            out.append(Measure(n.name, seen.get["rows"], seconds, max(0.0, seconds - below), **_counters(spark, group)))
         return out[::-1]
 
 

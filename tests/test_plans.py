@@ -198,10 +198,12 @@ def test_command_line_tree_and_profile(spark, tmp_path, capsys):
     assert main([str(tmp_path / "plan"), "--profile"]) == 0
     said = capsys.readouterr().out.splitlines()
     assert sorted(said[:2]) == ["2001-02-01|5.00", "2001-02-02|4.00"] and said[2].startswith("ResponseTimeInSec: ")
+    assert said.pop().startswith("Max Memory (bytes): ")
     assert [x.split(" (")[0] for x in said[3:]] == ["clock", "  add", "    inner", "      meet", "        right", "        left"]
     assert "2 rows" in said[3] and "8 rows" in said[5]
     plan = compile_plan(PLAN.format(path=tmp_path), spark)
     top, below = plan.profile()
+    assert min(top.cpu_seconds, top.read_bytes, top.shuffled_bytes, top.most_memory) > 0 and top.spilled_bytes == 0
     assert (top.rows, below.rows) == (2, 8) and 0 <= top.own_seconds <= top.seconds and below.own_seconds == below.seconds
     (tmp_path / "bad").write_text("treeroot = 1")
     assert main([str(tmp_path / "bad")]) == 2
