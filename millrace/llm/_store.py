@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import json
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,22 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: str | None = None
-_watching: list[list[Scratch]] = []
-
+from ..scratch import file_system, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
-    global _own
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="millrace-")
-        atexit.register(shutil.rmtree, _own, True)
-    return "file://" + _own
+_watching: list[list[Scratch]] = []
 
 
 #: Rows for which a small table gets a file, however many partitions the session's shuffles have.
@@ -65,8 +49,8 @@ class Scratch:
 
     def _remove(self, paths: set[str]) -> None:
         for at in paths & self.live:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = file_system(self.spark, at)
+            fs.delete(path, True)
         self.live -= paths
 
     def drop(self, *tables: DataFrame) -> None:

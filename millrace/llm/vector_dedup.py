@@ -192,5 +192,6 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     comp = connected_components(every, store, n_edges)
     known = classes.join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     known = store.keep(known.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
+    store.keep_only(rows, known)
     joined = rows.join(known, "v", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("n_links")).alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"))
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
