@@ -10,6 +10,7 @@ from ..functions.packed import pack
 from ..functions.user import column_fold, column_map, row_map
 from ..operators.relational import group_sizes, of
 from ..scratch import file_system, fresh
+from ..sources.scans import table
 from ..types import parse_type
 from .flow import Flow
 
@@ -147,7 +148,7 @@ def _(spark, d):
     ON l_orderkey = o_orderkey AND (l_linenumber % 2) = (o_orderkey % 2)""")
 def _(spark, d):
     """Two thread groups: build files by order parity, probe files by line parity."""
-    lines, orders = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+    lines, orders = table(spark, f"{d}/lineitem.parquet"), table(spark, f"{d}/orders.parquet")
     tables = {f"l{i}": lines.where(f"l_linenumber % 2 = {i}").select("l_orderkey", "l_linenumber") for i in (0, 1)}
     tables |= {f"o{i}": orders.where(f"o_orderkey % 2 = {i}").select("o_orderkey", "o_custkey") for i in (0, 1)}
     probe, build = Flow.source("partitionedscan", files=["l0", "l1"]), Flow.source("partitionedscan", files=["o0", "o1"])
@@ -205,7 +206,7 @@ def _(spark, d):
 @_query("agg_thread_partials", "SELECT l_linenumber % 2 AS g, l_returnflag AS k, COUNT(*) AS n FROM lineitem GROUP BY 1, 2")
 def _(spark, d):
     """Two threads read a file each; their partial counts stay apart below the merge."""
-    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    lines = table(spark, f"{d}/lineitem.parquet")
     tables = {f"l{i}": lines.where(f"l_linenumber % 2 = {i}").select("l_returnflag") for i in (0, 1)}
     flow = Flow.source("partitionedscan", files=["l0", "l1"]).count([0]).op("threadidprepend").merge(2)
     return _run(flow, spark, d, ["g", "k", "n"], tables=tables)
@@ -229,7 +230,7 @@ _sorts()
 @_query("partition_exactrange", """SELECT CAST((o_orderkey - lo) // ((hi - lo + 4) // 4) AS INTEGER) AS b, o_orderkey AS k
     FROM orders, (SELECT MIN(o_orderkey) AS lo, MAX(o_orderkey) AS hi FROM orders)""")
 def _(spark, d):
-    low, high = spark.read.parquet(f"{d}/orders.parquet").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    low, high = table(spark, f"{d}/orders.parquet").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
     flow = scan("orders", "o_orderkey").op("partition", attr=0, range=[low, high], buckets=4, sort="yes").op("threadidprepend")
     return _run(flow, spark, d, ["b", "k"])
 
@@ -302,7 +303,7 @@ def _(spark, d):
 def _(spark, d):
     """Draws with replacement: how many there are, and how many of them are events."""
     drawn = _run(Flow.source("hdf5random", file="events.parquet", pick=["event_id"], order=["event_id"], randomlookups=500), spark, d, ["e"])
-    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("e"), F.lit(1).alias("there"))
+    events = table(spark, f"{d}/events.parquet").select(F.col("event_id").alias("e"), F.lit(1).alias("there"))
     return drawn.join(events, "e", "left").agg(F.count(F.lit(1)).alias("draws"), F.count("there").alias("known"))
 
 
@@ -322,7 +323,7 @@ def _(spark, d):
 @_query("agg_global", "SELECT l_suppkey AS k, CAST(SUM(l_linenumber) AS BIGINT) AS s FROM lineitem GROUP BY 1")
 def _(spark, d):
     """Two reading threads share one aggregate: no partial sums below the merge."""
-    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_linenumber", "l_orderkey")
+    lines = table(spark, f"{d}/lineitem.parquet").select("l_suppkey", "l_linenumber", "l_orderkey")
     tables = {f"l{i}": lines.where(f"l_orderkey % 2 = {i}").drop("l_orderkey") for i in (0, 1)}
     flow = Flow.source("partitionedscan", files=["l0", "l1"]).sum([0], 1, threads=2, **{"global": True}).merge(2)
     return _run(flow, spark, d, ["k", "s"], tables=tables)
@@ -332,7 +333,7 @@ def _(spark, d):
     ON l_orderkey = o_orderkey AND (l_linenumber % 2) = (o_orderkey % 2)""")
 def _(spark, d):
     """One group of two threads: this join still meets only what the same thread reads."""
-    lines, orders = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+    lines, orders = table(spark, f"{d}/lineitem.parquet"), table(spark, f"{d}/orders.parquet")
     tables = {f"l{i}": lines.where(f"l_linenumber % 2 = {i}").select("l_orderkey", "l_linenumber") for i in (0, 1)}
     tables |= {f"o{i}": orders.where(f"o_orderkey % 2 = {i}").select("o_orderkey", "o_custkey") for i in (0, 1)}
     probe, build = Flow.source("partitionedscan", files=["l0", "l1"]), Flow.source("partitionedscan", files=["o0", "o1"])
@@ -342,7 +343,7 @@ def _(spark, d):
 
 @_query("group_sizes", "SELECT n AS rows_in_group, COUNT(*) AS n_groups FROM (SELECT COUNT(*) AS n FROM lineitem GROUP BY l_suppkey) GROUP BY 1")
 def _(spark, d):
-    return group_sizes(of(spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey")), [0]).df.toDF("rows_in_group", "n_groups")
+    return group_sizes(of(table(spark, f"{d}/lineitem.parquet").select("l_suppkey")), [0]).df.toDF("rows_in_group", "n_groups")
 
 
 def _text_scans() -> None:
@@ -350,7 +351,7 @@ def _text_scans() -> None:
 
         def f(spark, d, name=name, codec=codec):
             """The table written as delimited text, and scanned."""
-            lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd"))
+            lines = table(spark, f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd"))
             path = fresh(spark, name)
             lines.select(F.concat_ws("|", *[F.col(c).cast("string") for c in lines.columns]).alias("value")).write.option("compression", codec).text(path)
             flow = Flow.source("scan", file=path, filetype="text", schema=["long", "int", "dec", "char(1)", "date(%Y-%m-%d)"], separators="|")
@@ -367,7 +368,7 @@ def _(spark, d):
     """The 25 nations packed into two files, and scanned by a pattern."""
     schema = ["int", "long", "char(25)"]
     fields, path = [parse_type(t) for t in schema], fresh(spark, "binary_scan")
-    rows = pack(spark.read.parquet(f"{d}/nation.parquet").selectExpr("CAST(n_nationkey AS INT)", "CAST(n_regionkey AS BIGINT)", "n_name").toArrow().combine_chunks().to_batches()[0], fields)
+    rows = pack(table(spark, f"{d}/nation.parquet").selectExpr("CAST(n_nationkey AS INT)", "CAST(n_regionkey AS BIGINT)", "n_name").toArrow().combine_chunks().to_batches()[0], fields)
     for i in (0, 1):
         at, fs = file_system(spark, f"{path}/part{i}")
         out = fs.create(at)

@@ -281,7 +281,7 @@ class Compiler:
         if not pick:
             raise InvalidParameter("pick is empty")
         name = node.get("file") or _need(node, "indexdirectory")
-        df = self.tables[name] if name in self.tables else self.spark.read.parquet(self.path + name)
+        df = self.tables[name] if name in self.tables else scans.table(self.spark, self.path + name)
         return df, [str(p).strip("/").rpartition("/")[2] for p in pick]
 
     def scan_hdf5scan(self, node: dict, threads: int, keys) -> Rel:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..errors import IllegalSchema, InvalidParameter
 from ..functions.packed import dtype, unpack
+from ..scratch import file_system
 from ..types import Field, from_text
 
 SEPARATORS = ",|\t"
@@ -41,9 +42,23 @@ def binary(spark: SparkSession, path: str, fields: list[Field]) -> DataFrame:
     return raw.mapInArrow(rows, schema)
 
 
+_schemas: dict[tuple, T.StructType] = {}
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table as spark.read has it. Its schema is read from a footer once for each state of the file or folder, as that takes a job."""
+    at, fs = file_system(spark, path)
+    if not fs.exists(at):  # a pattern, or an error to be told by Spark
+        return spark.read.parquet(path)
+    key = (spark.sparkContext.applicationId, path, fs.getFileStatus(at).getModificationTime())
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
+
+
 def parquet(spark: SparkSession, path: str, columns: list[str] | None) -> DataFrame:
     """The named columns of a Parquet table in that order, as c0, c1, ...; nothing else is read."""
-    df = spark.read.parquet(path)
+    df = table(spark, path)
     names = columns or df.columns
     missing = [c for c in names if c not in df.columns]
     if missing:

@@ -209,6 +209,20 @@ def test_command_line_tree_and_profile(spark, tmp_path, capsys):
     assert main([str(tmp_path / "bad")]) == 2
 
 
+def test_a_rewritten_table_is_read_by_its_new_schema(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "t")
+    scan = lambda: rows(Flow.source("scan", file=path, filetype="parquet"), spark)
+    spark.createDataFrame([(1, "a")], "k long, s string").write.parquet(path)
+    assert scan() == [(1, "a")]
+    spark.createDataFrame([(2.5,)], "d double").write.mode("overwrite").parquet(path)
+    os.utime(path, (1e9, 1e9))  # whatever the clock says
+    assert scan() == [(2.5,)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        rows(Flow.source("scan", file=path + "-none", filetype="parquet"), spark)
+
+
 def test_text_rules(spark, tmp_path):
     p = tmp_path / "t.bz2"
     p.write_bytes(bz2.compress(b"|1||a\t2.5|\n2,bcd,3\n"))
