@@ -175,3 +175,24 @@ def test_slices_with_fewer_words_than_a_shingle(docs):
             assert len(alone[0]) == (max(1, n - width + 1) if n else 0)
     got = jaccard_components(docs([(1, "one two", "en", "s"), (2, None, "en", "s")]).coalesce(1)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 1, 1), (2, 0, 2)]
+
+
+def test_long_texts_that_are_near_but_not_linked_leave_few_rows(docs, monkeypatch):
+    """A thousand texts of 1,500 words, two thirds of them a common passage: every two share signatures, none is linked."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    passage = " ".join(rng.choice(words) for _ in range(1000))
+    rows = [(i, passage + " " + " ".join(rng.choice(words) for _ in range(500)), "en", "s") for i in range(1000)]
+    rows.append((1000, rows[7][1].replace(" ", "  ", 3).rsplit(" ", 1)[0], "en", "s"))
+    counts, keep = {}, ngram_join.Scratch.keep
+
+    def watched(self, df, name, n=None):
+        out = keep(self, df, name, n)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "keep", watched)
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs(rows), width=5, percent=80).collect()}
+    assert got == {i: 7 if i == 1000 else i for i in range(1001)}
+    assert 900 < counts["crowd"] <= 1001 and counts["again"] < 50 * len(rows)
+    assert sum(n for name, n in counts.items() if name.startswith("pairs")) < 20
