@@ -99,17 +99,16 @@ def test_cells_of_shared_signatures():
         assert [tuple(r.values()) for b in ngram_join._shared(3)(batches) for r in b.to_pylist()] == want
 
 
-@pytest.mark.parametrize("most_bits", [1 << 24, 1 << 15])
-def test_large_groups_of_strangers(docs, monkeypatch, most_bits):
+@pytest.mark.parametrize("most_bits, width, percent", [(1 << 24, 4, 85), (1 << 15, 5, 80)])
+def test_large_groups_of_strangers(docs, monkeypatch, most_bits, width, percent):
     """Members of groups over GROUP meet by prefixes, whether frequent shingles are known to the bit or only the most frequent ones."""
     monkeypatch.setattr(ngram_join, "GROUP", 3)
     monkeypatch.setattr(ngram_join, "FREQUENT_BITS", most_bits)
     rng = random.Random(6)
     words = [f"w{i}" for i in range(300)]
     rows = [r for k, (shared, own) in enumerate(((60, 20), (50, 50), (90, 12))) for r in crowd(rng, words, 1000 * k + 1, 60, shared, own)]
-    for width, percent in ((4, 85), (5, 80)):
-        got = jaccard_components(docs(rows), width=width, percent=percent).collect()
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, width, percent)
+    got = jaccard_components(docs(rows), width=width, percent=percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, width, percent)
 
 
 def test_one_id_on_different_texts(docs):
