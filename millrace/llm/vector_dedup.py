@@ -121,8 +121,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
                 new = np.flatnonzero((np.diff(t) != 0) | (np.diff(bucket) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
                 rep, left, copies = upto.column("rep").to_numpy(), upto.column("left").to_numpy(), upto.column("copies").to_numpy()
                 x = scaled(_vectors(upto.column("v").combine_chunks(), dim))
-                h = hasher.buckets(x)
                 norm = np.linalg.norm(x, axis=1)
+                h, hashed = np.zeros((len(x), tables), U64), np.zeros(len(x), bool)  # of rows with links only
                 ids, links, us, vs = [], [], [], []
                 for a, b in zip([0, *new.tolist()], [*new.tolist(), len(t)]):
                     inner = lo[a] == hi[a]
@@ -137,6 +137,10 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
                     if not len(p):
                         continue
                     p, q = one[p], two[q]
+                    bare = np.unique(np.concatenate([p, q]))
+                    bare = bare[~hashed[bare]]
+                    if len(bare):
+                        h[bare], hashed[bare] = hasher.buckets(x[bare]), True
                     first = (h[p, : t[a]] != h[q, : t[a]]).all(axis=1)
                     p, q = p[first], q[first]
                     if not len(p):
