@@ -7,15 +7,18 @@ import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces (twice so many, with the older ones) and moves that a worker keeps; beyond that it makes them anew, which costs time only.
+#: Pieces that a worker takes at once, and states (and twice so many moves) that it keeps; beyond that it makes them anew, which costs time only.
 KEPT_PIECES, KEPT_STATES = 200_000, 400_000
+#: Bytes of a piece that is read byte by byte along with others; a longer one is read alone.
+ABREAST = 128
 #: Tokens that the query's decoder feeds to the machine at once.
 DECODED = 4096
 
@@ -27,6 +30,7 @@ class Ranks:
         self.ids = dict(ranks)
         self.bytes = {i: b for b, i in ranks.items()}
         self.halves: dict[int, tuple[int, int]] = {}
+        self.unmerged: dict[bytes, int] = {}
         self.step: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         for word, rank in ranks.items():
@@ -40,6 +44,8 @@ class Ranks:
                 at = nxt
             # a token that the merges don't yield on its own bytes never stands inside an encoding
             self.token[at] = rank if self._last_merge(word, rank) else -1
+            if self.token[at] < 0:
+                self.unmerged[word] = rank
         self._pairs: dict[tuple[int, int], bool] = {}
 
     def _parts(self, piece: bytes, down_to: int) -> list[bytes]:
@@ -107,16 +113,23 @@ class Transducer:
     last token of the prefix read. The sequences that end at a state's places
     begin alike: what they share is emitted, at the end of each block, and only the rest is
     kept. States and their moves are made when first met and kept by number.
+
+    Many pieces are read abreast, a byte of each at a time. Their moves are in a hash
+    table of arrays: a state and a byte as key, the next state and the
+    token as value. The last byte of a piece needs no state behind it; such a
+    move has state 0, which no move leads to, until another piece goes on from there.
     """
 
     START = ((0, -1),)
     BLOCK = 1024
+    TOKEN = (1 << 32) - 1
 
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
         self.length = [0] * (max(ranks.bytes) + 1)
         for i, b in ranks.bytes.items():
             self.length[i] = len(b)
+        self.lengths = np.array(self.length)
         self.depth = [0] * len(ranks.step)
         for node, steps in enumerate(ranks.step):  # a node comes before those below it
             for below in steps.values():
@@ -127,8 +140,12 @@ class Transducer:
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.moves: dict[int, tuple[int, int]] = {}
+        self.filled, self.keys, self.values = 0, np.full(1 << 12, -1), np.zeros(1 << 12, np.int64)
         self._intern(self.START)
 
+    def _full(self) -> bool:
+        return len(self.states) > KEPT_STATES or len(self.moves) + self.filled > 2 * KEPT_STATES
+
     def _intern(self, places: tuple) -> int:
         number = self.number.get(places)
         if number is None:
@@ -136,6 +153,94 @@ class Transducer:
             self.states.append(places)
         return number
 
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is in the table, or the free place where it belongs."""
+        mask = len(self.keys) - 1
+        at = (keys * 0x9E3779B97F4A7C1 >> 24) & mask
+        todo = np.arange(len(keys))
+        while len(todo):
+            held = self.keys[at[todo]]
+            todo = todo[(held != keys[todo]) & (held >= 0)]
+            at[todo] = (at[todo] + 1) & mask
+        return at
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Takes in moves of different keys, over those that are there."""
+        if 2 * (self.filled + len(keys)) > len(self.keys):
+            old = self.keys >= 0
+            size = 1 << (3 * (self.filled + len(keys))).bit_length()
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            keys, last = np.unique(keys[::-1], return_index=True)
+            values = values[::-1][last]
+            self.filled, self.keys, self.values = 0, np.full(size, -1), np.zeros(size, np.int64)
+        while len(keys):
+            at = self._slots(keys)
+            free = self.keys[at] < 0
+            self.keys[at] = keys  # of keys that want one free place, one gets it
+            done = self.keys[at] == keys
+            self.values[at[done]] = values[done]
+            self.filled += int((free & done).sum())
+            keys, values = keys[~done], values[~done]
+
+    def _moved(self, keys: np.ndarray, inner: int) -> np.ndarray:
+        """The values of keys, of which the first `inner` need the state."""
+        at = self._slots(keys)
+        value = np.where(self.keys[at] == keys, self.values[at], -1)
+        lacks = value < 0
+        lacks[:inner] |= value[:inner] <= self.TOKEN
+        if lacks.any():
+            new, where = np.unique(keys[lacks], return_inverse=True)
+            goes_on = np.zeros(len(new), bool)
+            goes_on[where[: int(lacks[:inner].sum())]] = True
+            made = []
+            for key, on in zip(new.tolist(), goes_on.tolist()):
+                state, token = self._move(key >> 8, key & 255) if on else (0, self._final(key >> 8, key & 255))
+                made.append(state << 32 | token)
+            made = np.array(made, np.int64)
+            value[lacks] = made[where]
+            self._put(new, made)
+        return value
+
+    def encode_all(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of the pieces that stand in `data`, one piece after the other, and how many each has."""
+        if self._full():
+            self.clear()
+        order = np.argsort(-length, kind="stable")
+        start, length = start[order], length[order]
+        reach = np.searchsorted(-length, -np.arange(length[0] + 1)).tolist()  # how many pieces are longer
+        base = np.cumsum(length) - length
+        last = np.empty(int(length.sum()), np.int64)
+        state = np.zeros(len(start), np.int64)
+        for at in range(int(length[0])):
+            n, inner = reach[at], reach[at + 1]
+            value = self._moved(state[:n] << 8 | data[start[:n] + at], inner)
+            last[base[:n] + at] = value & self.TOKEN
+            state = value[:inner] >> 32
+        rounds, todo, end = [], np.flatnonzero(length), length.copy()
+        count = np.zeros(len(length), np.int64)
+        while len(todo):  # backwards, from the last token of each
+            token = last[base[todo] + end[todo] - 1]
+            rounds.append((todo, token))
+            count[todo] += 1
+            end[todo] -= self.lengths[token]
+            todo = todo[end[todo] > 0]
+        counts = np.empty_like(count)
+        counts[order] = count
+        ends = np.cumsum(counts)[order]
+        ids = np.empty(int(count.sum()), np.int32)
+        for back, (which, token) in enumerate(rounds, 1):
+            ids[ends[which] - back] = token
+        return ids, counts
+
+    def _final(self, state: int, byte: int) -> int:
+        """The last token of a piece that ends here."""
+        step, tokens = self.ranks.step, self.ranks.token
+        for node, last in self.states[state]:
+            nxt = step[node].get(byte)
+            if nxt is not None and (token := tokens[nxt]) >= 0 and (last < 0 or self.ranks.follows(last, token)):
+                return token
+        raise ValueError("the vocabulary lacks a byte")
+
     def _move(self, state: int, byte: int) -> tuple[int, int]:
         ranks, live, reached = self.ranks, [], -1
         for node, last in self.states[state]:  # earliest first, so the longest token that fits is taken
@@ -150,8 +255,7 @@ class Transducer:
         if reached < 0:
             raise ValueError("the vocabulary lacks a byte")
         live.append((0, reached))
-        move = self.moves[state << 8 | byte] = self._intern(tuple(live)), reached
-        return move
+        return self._intern(tuple(live)), reached
 
     def _back(self, last: list[int], end: int) -> list[int]:
         """The tokens up to `end`, given the last token before each place."""
@@ -174,13 +278,16 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         state, last, out = 0, [], []
         for at in range(0, len(piece), self.BLOCK):
-            if len(self.moves) > KEPT_STATES:
+            if self._full():
                 places = self.states[state]
                 self.clear()
                 state = self._intern(places)
-            known = self.moves.get
+            moves = self.moves
             for byte in piece[at : at + self.BLOCK]:
-                state, token = known(state << 8 | byte) or self._move(state, byte)
+                key = state << 8 | byte
+                if key not in moves:
+                    moves[key] = self._move(state, byte)
+                state, token = moves[key]
                 last.append(token)
             if at + self.BLOCK < len(piece):
                 sure = self._sure(last, state)
@@ -264,34 +371,75 @@ class Codec:
             self.ranks = Ranks({base64.b64decode(a): int(b) for a, b in pairs})
         self.pattern = regex.compile(pattern)
         self.machine = Transducer(self.ranks)
-        self.pieces: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.unmerged = pa.array(list(self.ranks.unmerged), pa.binary())
+        every = range(max(self.ranks.bytes) + 1)
+        self.decimals = np.array([b"%d," % i for i in every])
 
-    def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
-        """Of a piece that `pieces` lacks. Full, it becomes the older one, from which pieces still met are taken over."""
-        found = self.older.get(piece)
-        if found is None:
-            raw = piece.encode("utf-8", "surrogatepass")
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has. Equal pieces are encoded once."""
+        try:
+            found = pa.array(pieces, pa.string()).cast(pa.binary())
+        except UnicodeEncodeError:
+            found = pa.array([p.encode("utf-8", "surrogatepass") for p in pieces], pa.binary())
+        found = found.dictionary_encode()
+        code, words = found.indices.to_numpy(), found.dictionary
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8)
+        start, length = offsets[:-1], np.diff(offsets)
+        alone = length > ABREAST
+        if len(self.unmerged):
+            alone |= pc.is_in(words, value_set=self.unmerged).to_numpy(zero_copy_only=False)
+        ids, at, counts = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        n = 0
+
+        def take(which: np.ndarray, new: np.ndarray, count: np.ndarray) -> None:
+            nonlocal n
+            at[which], counts[which] = n + np.cumsum(count) - count, count
+            ids.append(new)
+            n += len(new)
+
+        for i in np.flatnonzero(alone):
+            raw = words[int(i)].as_py()
             whole = self.ranks.ids.get(raw)
-            ids = (whole,) if whole is not None else tuple(self.machine.encode(raw))
-            found = ids, ",".join(map(str, ids))
-        if len(self.pieces) >= KEPT_PIECES:
-            self.older, self.pieces = self.pieces, {}
-        if len(piece) <= 64:
-            self.pieces[piece] = found
-        return found
-
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """For each match of the pattern its ids, and their decimals joined by commas."""
-        pieces = self.pattern.findall(text)
-        found = list(map(self.pieces.get, pieces))
-        for i, known in enumerate(found):
-            if known is None:
-                found[i] = self.pieces.get(pieces[i]) or self._piece(pieces[i])
-        return found
+            new = np.array([whole] if whole is not None else self.machine.encode(raw), np.int32)
+            take(np.array([i]), new, np.array([len(new)]))
+        rest = np.flatnonzero(~alone)
+        lot = np.cumsum(length[rest]) // max(1, KEPT_STATES // 4)
+        for which in np.split(rest, np.flatnonzero(np.diff(lot)) + 1):
+            if len(which):
+                take(which, *self.machine.encode_all(data, start[which], length[which]))
+        count = counts[code]
+        first = np.repeat(at[code] - (np.cumsum(count) - count), count)
+        return np.concatenate([*ids, np.empty(0, np.int32)])[first + np.arange(len(first))], count
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        pieces, ends, size = [], [], 0
+        for text in texts:
+            pieces += self.pattern.findall(text)
+            ends.append(len(pieces))
+            size += len(text)
+            if len(pieces) >= KEPT_PIECES or size >= 16 * KEPT_PIECES:
+                yield from self._cut(pieces, ends)
+                pieces, ends, size = [], [], 0
+        yield from self._cut(pieces, ends)
+
+    def _cut(self, pieces: list[str], ends: list[int]) -> Iterator[np.ndarray]:
+        parts = [self._pieces(pieces[i : i + KEPT_PIECES]) for i in range(0, len(pieces), KEPT_PIECES)]
+        ids = np.concatenate([np.empty(0, np.int32), *[i for i, _ in parts]])
+        until = np.cumsum(np.concatenate([np.zeros(1, np.int64), *[c for _, c in parts]]))
+        begin = 0
+        for end in until[ends].tolist():
+            yield ids[begin:end]
+            begin = end
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([ids for ids, _ in self.parts(text)]))
+        return next(self.encode_all([text])).tolist()
+
+    def ids_sha256(self, ids: np.ndarray) -> str:
+        """Of the ids' decimals, joined by commas."""
+        return hashlib.sha256(self.decimals[ids].tobytes().translate(None, b"\0")[:-1]).hexdigest()
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.ranks.bytes.__getitem__, ids))
@@ -313,7 +461,7 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def _codec(path: str, pattern: str) -> Codec:
-    """One for all tasks of a worker, with the pieces and states it has met.
+    """One for all tasks of a worker, with the states it has met.
 
     These hold no reference cycles, so the search for such among all of them,
     which takes as long as the work itself, is put off.
@@ -327,8 +475,7 @@ def encode_table(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
 
     `path` names a rank file that every worker can read. A null text counts as
     empty: no tokens, and the digests of nothing. Each repeated row gets its own
-    row. Workers keep the ids of pieces and the transducer's states up to a
-    fixed number.
+    row. Workers keep the transducer's states up to a fixed number.
     """
     kind = df.schema[doc_id].dataType.simpleString()
 
@@ -336,11 +483,10 @@ def encode_table(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
         codec = _codec(path, pattern)
         for batch in batches:
             counts, ids_sha, text_sha, every = [], [], [], []
-            for t in batch.column("text"):
-                parts = codec.parts(t.as_py() or "")
-                ids = list(chain.from_iterable([i for i, _ in parts]))
+            for ids in codec.encode_all(t.as_py() or "" for t in batch.column("text")):
                 counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join([d for _, d in parts]).encode()).hexdigest())
+                ids_sha.append(codec.ids_sha256(ids))
+                ids = ids.tolist()
                 text_sha.append(codec.decoded_sha256(ids))
                 if with_ids:
                     every.append(ids)

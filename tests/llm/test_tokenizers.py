@@ -100,3 +100,58 @@ def test_long_pieces_and_small_caches_change_nothing(codec, monkeypatch):
     monkeypatch.setattr(byte_bpe.Transducer, "BLOCK", 7)
     for t in [*long, *texts(5, 300)]:
         assert few.encode(t) == own.encode_ordinary(t)
+
+
+def test_pieces_are_read_abreast_and_equal_ones_once(codec, monkeypatch):
+    import tiktoken
+
+    from millrace.llm import byte_bpe
+
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=codec.ranks.ids, special_tokens={})
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinsß") for _ in range(n)) for n in (1, 2, 5, 9, 60, byte_bpe.ABREAST // 2) for _ in range(20)]
+    some = [*texts(7, 200), "", *(" ".join(rng.choices(words, k=rng.randrange(60))) for _ in range(100)), ""]
+    few = Codec(public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+    read, read_abreast = [], few.machine.encode_all
+    monkeypatch.setattr(few.machine, "encode_all", lambda data, start, length: read.append(len(start)) or read_abreast(data, start, length))
+    monkeypatch.setattr(few.machine, "encode", None)
+    expected = [own.encode_ordinary(t) for t in some]
+    assert [ids.tolist() for ids in few.encode_all(some)] == expected
+    assert read == [len({p for t in some for p in few.pattern.findall(t)})]
+    for pieces, states in ((200_000, 50), (7, 400_000), (30, 300)):
+        monkeypatch.setattr(byte_bpe, "KEPT_PIECES", pieces)
+        monkeypatch.setattr(byte_bpe, "KEPT_STATES", states)
+        assert [ids.tolist() for ids in few.encode_all(some)] == expected
+
+
+def test_pieces_of_any_length_in_one_batch(codec):
+    import tiktoken
+
+    from millrace.llm import byte_bpe
+
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=codec.ranks.ids, special_tokens={})
+    rng = random.Random(8)
+    lengths = [byte_bpe.ABREAST, codec.machine.BLOCK, 2 * codec.machine.BLOCK]
+    some = ["".join(rng.choice("ethin") for _ in range(n + more)) + end for n in lengths for more in range(-2, 3) for end in ("", " a")]
+    assert [ids.tolist() for ids in codec.encode_all(some)] == [own.encode_ordinary(t) for t in some]
+    assert codec.encode("a\ud800") == [i for part in (b"a", "\ud800".encode("utf-8", "surrogatepass")) for i in codec.ranks.merge(part)]
+
+
+def test_a_token_that_merges_do_not_reach_is_a_whole_piece_only(tmp_path):
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"abc": 256, b"bc": 257, b"xyz": 258, b" a": 259}
+    path = tmp_path / "few.tiktoken"
+    path.write_bytes(b"".join(b"%s %d\n" % (base64.b64encode(k), v) for k, v in ranks.items()))
+    codec = Codec(str(path), public.PATTERN)
+    own = tiktoken.Encoding("few", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    some = ["abc", "xyz", "xyzz", "abcd xyz", "xyz abc xyz!", "bc", " a"]
+    assert codec.ranks.unmerged == {b"xyz": 258}
+    assert [ids.tolist() for ids in codec.encode_all(some)] == [own.encode_ordinary(t) for t in some]
+
+
+def test_the_last_byte_of_a_piece_makes_no_state():
+    few = Codec(public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        assert few.encode(" qzx" + c) == few.ranks.merge(b" qzx" + c.encode())
+    assert len(few.machine.states) <= len(" qzx") + 1
